@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op8
+from .fingerprint import op3
 from .language import op6
+from .packing import op2
 from .simhash import op10
+from .topk import OP1_SQL, op1
+from .urls import op9
 
 QUERIES = {
+    "op1_topk_segments": op1,
+    "op2_pattern_packing": op2,
+    "op3_fingerprints": op3,
     "op6_language_id": op6,
     "op8_byte_bpe": op8,
+    "op9_url_trust": op9,
     "op10_simhash_golay": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_topk_segments": OP1_SQL}
