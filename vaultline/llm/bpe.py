@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries of a worker's memory of words; at this size it starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 @lru_cache(1)
@@ -67,6 +67,16 @@ def from_json(path: str):
     return t
 
 
+def token_bytes(tokenizer) -> list[bytes]:
+    """The bytes of every id. What isn't written in characters of the byte table stands for its own UTF-8."""
+    back = {c: b for b, c in byte_chars().items()}
+    vocab = tokenizer.get_vocab()
+    pieces = [b""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        pieces[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+    return pieces
+
+
 class WordEncoder:
     """Encodes texts by a byte-level tokenizer, remembering words.
 
@@ -78,6 +88,8 @@ class WordEncoder:
     def __init__(self, tokenizer) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.memory = tokenizer, {}
+        tokenizer.model._resize_cache(0)  # words are remembered here
+        self.lengths = np.array([len(p) for p in token_bytes(tokenizer)], np.int64)
 
     def _words(self, text: str) -> list[str]:
         words = text.split(" ")
@@ -87,17 +99,39 @@ class WordEncoder:
         words[1:] = [" " + w for w in words[1:]]
         return words
 
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words that begin with their blank are joined, encoded together and cut by the lengths of their tokens."""
+        alone = [w for w in words if w[0] != " "]
+        joined = [w for w in words if w[0] == " "]
+        parts = [joined[i : i + 500] for i in range(0, len(joined), 500)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.cumsum(self.lengths[ids])
+            ends = np.cumsum([len(w.encode()) for w in part])
+            cut = np.searchsorted(at, ends)
+            if not np.array_equal(at[np.minimum(cut, len(at) - 1)], ends):
+                alone += part
+                continue
+            raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+            for w, a, b in zip(part, [0, *cut], cut, strict=False):
+                yield w, raw[a:b]
+        for i in range(0, len(alone), 4096):
+            part = alone[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                yield w, np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        memory, split, long = self.memory, [self._words(t) if t else [] for t in texts], {}
-        new = list({w for words in split for w in words if w not in memory})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (memory if len(w) <= 48 else long)[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memory[w] if w in memory else long[w] for w in words]) for words in split]
+        memory, split = self.memory, [self._words(t) if t else [] for t in texts]
+        new = set().union(*split).difference(memory)
+        memory.update(self._encode_words(list(new)))
+        out = [b"".join(map(memory.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > 48:
+                del memory[w]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -114,12 +148,7 @@ class Decoder:
     """Ids to bytes and text by the reversed byte table."""
 
     def __init__(self, tokenizer) -> None:
-        back = {c: b for b, c in byte_chars().items()}
-        vocab = tokenizer.get_vocab()
-        self.pieces = [b""] * (max(vocab.values()) + 1)
-        for piece, i in vocab.items():
-            known = all(c in back for c in piece)
-            self.pieces[i] = bytes(back[c] for c in piece) if known else piece.encode()
+        self.pieces = token_bytes(tokenizer)
 
     def raw(self, ids: bytes) -> bytes:
         pieces = self.pieces
