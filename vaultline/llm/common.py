@@ -53,3 +53,16 @@ def free_shuffles(spark: SparkSession) -> None:
 def fold_of(col: str = "doc_id"):
     """crc32 of the id as text, modulo 4."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """`names` of docs, and all of its other columns in one named rest, so that they can't clash with a step's own."""
+    others = [c for c in docs.columns if c not in names]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(*[F.col(f"`{n}`") for n in names], rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """packed() undone: the columns of docs in their order."""
+    own = [n for n in rows.columns if n != "rest"]
+    return rows.select(*[F.col(f"`{c}`") if c in own else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import fold_of, table
+from .common import fold_of, packed, table, unpacked
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, longest first. Words are framed as ^word$ for them.
 ORDERS = (5, 4, 3, 2, 1)
 #: Entries of a worker's memory of words.
-MEMORY = 300_000
+MEMORY = 120_000
 
 
 @dataclass
@@ -149,10 +149,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised: neither `und` nor a best posterior under `least`. Columns stay as they are."""
     model = fit(docs.where(~is_held_out()))
-    columns = docs.columns
-    renamed = docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"})
-    kept = predict(renamed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*[f"`{c}`" for c in columns])
+    kept = predict(packed(docs, "text"), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return unpacked(kept.drop("lang_pred", "score"), docs)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import op8
 from .fingerprint import op3
 from .language import op6
+from .lines import op5
 from .packing import op2
 from .simhash import op10
+from .suffixes import op7
 from .topk import OP1_SQL, op1
 from .urls import op9
 
@@ -14,7 +16,9 @@ QUERIES = {
     "op1_topk_segments": op1,
     "op2_pattern_packing": op2,
     "op3_fingerprints": op3,
+    "op5_line_deletions": op5,
     "op6_language_id": op6,
+    "op7_prefix_free_repeats": op7,
     "op8_byte_bpe": op8,
     "op9_url_trust": op9,
     "op10_simhash_golay": op10,
