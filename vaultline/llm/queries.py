@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8
 from .fingerprint import op3
+from .html import op4
 from .language import op6
 from .lines import op5
 from .packing import op2
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_topk_segments": op1,
     "op2_pattern_packing": op2,
     "op3_fingerprints": op3,
+    "op4_wrapper_text": op4,
     "op5_line_deletions": op5,
     "op6_language_id": op6,
     "op7_prefix_free_repeats": op7,

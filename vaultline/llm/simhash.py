@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import table, written
+from .common import packed, table, unpacked, written
 from .components import connected_components
 
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and its lengths.
@@ -245,12 +245,17 @@ def groups(docs: DataFrame, radius: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id; columns stay as they are.
 
-    Repeated rows of that id are one document: the first in order of text stays. Rows without an id stay only where a
-    group has no id at all; then the group's first in order of text stays.
+    Of rows that repeat this id, the first in order of text stays. Rows without an id stay only where a group has no id at
+    all; then the group's rows count as one document, and the first in order of text stays.
     """
-    found = groups(docs, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found.select(F.col("doc_id").alias("_keep")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = groups(docs, radius).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = written(found.withColumnRenamed("doc_id", "keep"), "kept")
+    rows = packed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
+    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("keep")))
+    if not found.where("n > 1").isEmpty():
+        first = Window.partitionBy("keep").orderBy("text")
+        kept = kept.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at")
+    return unpacked(kept.drop("keep", "n"), docs)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
