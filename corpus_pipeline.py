@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vaultline.llm.common import table, written
 from vaultline.llm.language import keep_identified
@@ -18,6 +19,11 @@ from vaultline.llm.simhash import keep_one
 from vaultline.llm.suffixes import without_repeats
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, as the text now has it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay."""
     return keep_identified(docs)
@@ -25,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose lines that stand, give or take a word, in an earlier line; documents without any line left go."""
-    return keep_new_lines(docs)
+    return recounted(keep_new_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose every byte that a repeated 200-byte string covers."""
-    return without_repeats(docs)
+    return recounted(without_repeats(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
