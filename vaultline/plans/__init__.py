@@ -1,4 +1,6 @@
 """Queries over the provided tables, with their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import progress, stores, trees
+
+QUERIES = {**trees.QUERIES, **stores.QUERIES, **progress.QUERIES}
+ORACLE_SQL = {**trees.ORACLE_SQL, **stores.ORACLE_SQL, **progress.ORACLE_SQL}
