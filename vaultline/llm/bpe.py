@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 #: Entries of a worker's memory of words; at this size it starts anew.
-MEMORY = 600_000
+MEMORY = 350_000
 
 
 @lru_cache(1)
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = False
                     names += ["char_start", "char_end"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return kept.mapInArrow(run, f"{ddl(kept)}, {new}")
+    return map_arrow(kept, run, f"{ddl(kept)}, {new}")
 
 
 def ddl(df: DataFrame) -> str:
@@ -227,7 +227,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                     [*b.schema.names, "decoded", "decoded_text"],
                 )
 
-    return kept.mapInArrow(run, f"{ddl(kept)}, decoded binary, decoded_text string")
+    return map_arrow(kept, run, f"{ddl(kept)}, decoded binary, decoded_text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -253,7 +253,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

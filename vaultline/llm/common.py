@@ -38,6 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of 8 MB at most, unless the session has a limit of its own.
+
+    The default of 64 MB, which a batch takes several times over in the JVM and in Python, is much for long texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, "8m")
+    return df.mapInArrow(run, schema)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to collect what it no longer refers to.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import table
+from .common import map_arrow, table
 
 #: Hashes in a fingerprint.
 SIZE = 64
@@ -210,7 +210,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     pa.array([likeness(own[i], own[i + 1]) for i in pairs], pa.float64()),
                 ], names)
 
-    return in_order(docs).mapInArrow(run, out)
+    return map_arrow(in_order(docs), run, out)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

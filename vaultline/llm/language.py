@@ -12,39 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import fold_of, packed, table, unpacked
+from .common import fold_of, map_arrow, packed, table, unpacked
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, longest first. Words are framed as ^word$ for them.
 ORDERS = (5, 4, 3, 2, 1)
 #: Entries of a worker's memory of words.
-MEMORY = 120_000
+MEMORY = 100_000
 
 
 @dataclass
 class LanguageModel:
-    """Log frequencies per language. Rows of words and grams are aligned with langs; floor is for what a language lacks."""
+    """Log frequencies per language: rows of `table`, aligned with langs, that words and grams name by number.
+
+    floor is for words of which nothing is known.
+    """
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
     floor: np.ndarray
 
     def of_word(self, word: str) -> np.ndarray:
         """Log scores of one word: its own frequency if known, else the mean over its longest known n-grams."""
         if (own := self.words.get(word)) is not None:
-            return own
+            return self.table[own]
         framed = f"^{word}$"
         for n in ORDERS:
             found = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].mean(axis=0)
         return self.floor
 
 
-def fit(docs: DataFrame, docs_per_language: int = 4000, max_words: int = 50_000, max_grams: int = 120_000) -> LanguageModel:
+def fit(docs: DataFrame, docs_per_language: int = 2500, max_words: int = 50_000, max_grams: int = 120_000) -> LanguageModel:
     """Fit on rows with text and lang.
 
     The sample is bounded: about docs_per_language documents of each language, by a hash of doc_id, whole texts. The
@@ -56,7 +60,7 @@ def fit(docs: DataFrame, docs_per_language: int = 4000, max_words: int = 50_000,
     langs = sorted(counts)
     total = sum(counts.values())
     if not langs:
-        return LanguageModel([], np.zeros(0), {}, {}, np.zeros(0))
+        return LanguageModel([], np.zeros(0), {}, {}, np.zeros((0, 0)), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(1e6 * min(1, docs_per_language / counts[k])) + 1))])
     sample = labelled.where(part < share[F.col("lang")])
@@ -79,12 +83,13 @@ def fit(docs: DataFrame, docs_per_language: int = 4000, max_words: int = 50_000,
         per_word.unpersist()
     mass = np.array([sums.get(k, 0) for k in langs], float)
     prior = np.log(np.array([counts[k] for k in langs], float) / total)
-    word_rows = {w: np.log((n + 0.5) / (mass + 1)) for w, n in words}
     gram_mass = {k: np.zeros(len(langs)) for k in ORDERS}
     for g, n in grams_found:
         gram_mass[len(g)] += n
-    gram_rows = {g: np.log((n + 0.5) / (gram_mass[len(g)] + 1)) for g, n in grams_found}
-    return LanguageModel(langs, prior, word_rows, gram_rows, np.log(0.5 / (mass + 1)).min() * np.ones(len(langs)))
+    rows = [np.log((n + 0.5) / (mass + 1)) for _, n in words] + [np.log((n + 0.5) / (gram_mass[len(g)] + 1)) for g, n in grams_found]
+    numbers = {w: i for i, (w, _) in enumerate(words)}, {g: len(words) + i for i, (g, _) in enumerate(grams_found)}
+    floor = np.full(len(langs), np.log(0.5 / (mass + 1)).min())
+    return LanguageModel(langs, prior, *numbers, np.array(rows).reshape(-1, len(langs)), floor)
 
 
 def _top(counts: DataFrame, langs: list[str], most: int) -> list[tuple[str, np.ndarray]]:
@@ -106,17 +111,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory, rows = shared.value, {}, []
+        model, memory = shared.value, {}
+        matrix = np.zeros((1024, len(model.langs)))
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 1_000_000):
                 langs, scores = [], []
                 if len(memory) > MEMORY:
-                    memory, rows = {}, []
+                    memory.clear()
                 found = [LETTERS.findall(t.lower()) if t else [] for t in b.column("text").to_pylist()]
-                for w in {w for words in found for w in words if w not in memory}:
-                    memory[w] = len(rows)
-                    rows.append(model.of_word(w))
-                matrix = np.array(rows) if rows else np.zeros((0, len(model.langs)))
+                new = set().union(*found).difference(memory)
+                if len(memory) + len(new) > len(matrix):
+                    matrix = np.concatenate([matrix, np.zeros((len(matrix) + len(new), matrix.shape[1]))])
+                for w in new:
+                    matrix[len(memory)] = model.of_word(w)
+                    memory[w] = len(memory)
                 for words in found:
                     if not words or not model.langs:
                         langs.append(UNKNOWN)
@@ -127,9 +135,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     k = int(np.argmax(z))
                     langs.append(model.langs[k])
                     scores.append(float(1 / np.exp(np.clip(z - z[k], -700, 0)).sum()))
+                del found
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, f"{ddl(kept)}, lang_pred string, score double")
+    return map_arrow(kept, run, f"{ddl(kept)}, lang_pred string, score double")
 
 
 def is_held_out():

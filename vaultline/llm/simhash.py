@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import packed, table, unpacked, written
+from .common import map_arrow, packed, table, unpacked, written
 from .components import connected_components
 
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and its lengths.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -125,7 +125,7 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
                 row, key = join_keys(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(key.astype(np.int32))], ["fp", "key"])
 
-    return distinct.select("fp").mapInArrow(run, "fp long, key int")
+    return map_arrow(distinct.select("fp"), run, "fp long, key int")
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -208,7 +208,7 @@ def links(distinct: DataFrame, radius: int = 4, few: int = 8, most: int = 20_000
                 held_f, held_k, blocks = held_f[most:], held_k[most:], blocks + 1
         yield from closed(held_f, held_k)
 
-    found = written(keyed.mapInArrow(run, "kind int, key int, a long, b long"), "links")
+    found = written(map_arrow(keyed, run, "kind int, key int, a long, b long"), "links")
     edges = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     counts = found.where("kind = 2").select("key", F.col("a").alias("n"))
     big = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("block")).join(counts, "key")

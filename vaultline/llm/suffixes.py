@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
-from .common import free_shuffles, packed, table, unpacked, written
+from .common import free_shuffles, map_arrow, packed, table, unpacked, written
 
 LENGTH, WINDOW = 200, 24
 #: Windows in a string; with HALF bytes before the trigger window or after it, one of both lies in every string.
@@ -103,7 +103,7 @@ def _phrases(docs: DataFrame, halves: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "k1 long, k2 long, doc long, trigger int, first int, last int" + ", before long, after long" * halves
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "start", "once", "context"])
 
-    return rows.mapInArrow(run, "key long, doc long, start int, once boolean, context binary")
+    return map_arrow(rows, run, "key long, doc long, start int, once boolean, context binary")
 
 
 def repeated_suffixes(contexts: list[bytes]) -> np.ndarray:
@@ -221,7 +221,7 @@ def _repeats(contexts: DataFrame, most: int, chunk: int = 1_500_000) -> DataFram
         if ready:
             yield runs(ready)
 
-    found = written(rows.mapInArrow(run, "kind int, h1 long, h2 long, doc long, a int, b int, once boolean"), "repeats")
+    found = written(map_arrow(rows, run, "kind int, h1 long, h2 long, doc long, a int, b int, once boolean"), "repeats")
     near = found.where("kind = 0").select("doc", "a", "b")
     single = found.where("kind = 1")
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
@@ -303,7 +303,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 kinds = (*[pa.int64()] * 4, pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return unpacked(rows.mapInArrow(run, ddl(rows)).drop("_spans"), docs)
+    return unpacked(map_arrow(rows, run, ddl(rows)).drop("_spans"), docs)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
