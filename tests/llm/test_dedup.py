@@ -1,30 +1,13 @@
 """Line dedup (5), repeated strings (7), SimHash (10), components."""
 
-import hashlib
-from collections import Counter
-
 import numpy as np
 import pytest
-import xxhash
+from brute import brute_lines, brute_repeats, slow_fingerprint
 
 from vaultline.llm import lines, simhash, suffixes
 from vaultline.llm.components import connected_components
 
 
-def brute_lines(texts):
-    seen, gone = [], {}
-    for i, t in enumerate(texts):
-        for j, line in enumerate((t or "").split("\n")):
-            w = lines.words_of(line)
-            if len(w) < lines.MIN_WORDS:
-                continue
-            near = lambda v: len(v) >= lines.NEAR_WORDS and len(w) >= lines.NEAR_WORDS and lines.within_one(v, w)  # noqa: B023, E731
-            if any(v == w or near(v) for v in seen):
-                gone.setdefault(i, []).append(j)
-            seen.append(w)
-    return gone
-
-
 def line_texts():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(30)]
@@ -68,22 +51,6 @@ def test_repeated_rows_are_one_document_for_lines(docs):
     assert [r.text for r in lines.without_duplicates(docs([t, t], ids=[3, 3])).collect()] == [t, t]
 
 
-def brute_repeats(texts):
-    data = [(t or "").encode() for t in texts]
-    n = suffixes.LENGTH
-    count = Counter(t[i : i + n] for t in data for i in range(len(t) - n + 1))
-    out = []
-    for t in data:
-        hit = np.zeros(len(t), bool)
-        for i in range(len(t) - n + 1):
-            if count[t[i : i + n]] > 1:
-                hit[i : i + n] = True
-        kept = bytes(np.frombuffer(t, np.uint8)[~hit])
-        runs = int((np.diff(hit.astype(int), prepend=0) == 1).sum())
-        out.append((len(t), int(hit.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    return out
-
-
 def repeat_texts():
     rng = np.random.default_rng(1)
     word = lambda letters, n: "".join(rng.choice(list(letters), n))
@@ -114,16 +81,6 @@ def test_repeats_in_repeated_rows_and_without_ids(docs):
     assert suffixes.measure(made.where("false")).collect() == []
 
 
-def slow_fingerprint(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
-    words = [w for w in low.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w]
-    if not words:
-        return 0
-    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_fingerprint():
     for t in ["", None, "One two", "A b c D", "é À ß ſ x", "a  b\tc\nd e\u00a0f g", "w " * 3000, " \n "]:
         assert simhash.fingerprint(t) == slow_fingerprint(t)

@@ -114,3 +114,41 @@ def test_pipeline(spark, tmp_path):
     assert set(range(40)) <= ids  # clean documents stay
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == ids and all(r.offset + r.length <= 2048 for r in out)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import numpy as np
+    from brute import brute_covered, brute_groups, brute_lines
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    passage, texts = say(70), []
+    for i in range(60):
+        rows = [say(int(rng.integers(3, 50))) for _ in range(int(rng.integers(1, 4)))]
+        if i % 4 == 0:
+            rows[0] = f"{say(20)} {passage} {say(20)}"
+        if i % 5 == 0 and i:
+            rows = texts[i - 5].split("\n")
+            rows[0] += " " + say(i % 3)
+        texts.append("\n".join(rows))
+    texts += [None, "", "12 34", texts[7], texts[8] + "\n" + passage]
+    spark.createDataFrame([(3 * i, t, "en", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, rest int").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = [(3 * i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+    gone = brute_lines([t for _, t in left])
+    cut = [(d, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ()))) for i, (d, t) in enumerate(left)]
+    left = [(d, t) for i, (d, t) in enumerate(cut) if not (gone.get(i) and not t.strip())]
+    group = brute_groups([d for d, _ in left], [t for _, t in left])
+    left = [(d, t) for (d, t), g in zip(left, group, strict=True) if d == g]
+    expected = {}
+    for (d, _), (data, hit) in zip(left, brute_covered([t for _, t in left]), strict=True):
+        expected[d] = bytes(np.frombuffer(data, np.uint8)[~hit]).decode()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == expected and len(got) < 60 and sum(map(len, got.values())) < sum(len(t) for _, t in left)
+    assert all(r.rest * 3 == r.doc_id for r in docs.collect())
