@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
-from .common import free_shuffles, packed, table, unpacked, written
+from .common import free_shuffles, map_arrow, packed, table, unpacked, written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 _hash = lambda s, seed=0: xxhash.xxh64_intdigest(s, seed) - (1 << 63)
@@ -68,13 +68,14 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "line", "h1", "h2", "keys"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, line int, h1 long, h2 long, keys array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, line, words for the lines in `wanted` (doc_id, line), which are few of their documents."""
     per_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("lines"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, F.col("doc_id") == F.col("_doc"))
+    # what grows with the corpus is merged, not broadcast, at every size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc.hint("merge"), F.col("doc_id") == F.col("_doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,7 +88,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "line", "words"])
 
-    return rows.select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, words array<string>").distinct()
+    return map_arrow(rows.select("doc_id", "text", "lines"), run, "doc_id long, line int, words array<string>").distinct()
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def variants(lines: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "line", "key", "at"])
 
-    return lines.mapInArrow(run, "doc_id long, line int, key long, at int")
+    return map_arrow(lines, run, "doc_id long, line int, key long, at int")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -120,11 +121,13 @@ def duplicates(docs: DataFrame) -> DataFrame:
     first = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
     first = written(first, "first")
     own = hashed.select("h1", "h2", "doc_id", "line").join(first.select("h1", "h2", "first"), ["h1", "h2"])
-    exact = own.where(F.col("first") != place).select("doc_id", "line")
+    exact = written(own.where(F.col("first") != place).select("doc_id", "line"), "exact")
+    free_shuffles(docs.sparkSession)
 
     keyed = first.where(F.size("keys") > 0).select("first.doc_id", "first.line", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    candidates = keyed.join(shared, "key", "left_semi").select("doc_id", "line").distinct()
+    candidates = written(keyed.join(shared, "key", "left_semi").select("doc_id", "line").distinct(), "candidates")
+    free_shuffles(docs.sparkSession)
     words = written(_texts(docs, candidates), "words")
     free_shuffles(docs.sparkSession)
     made = written(variants(words), "variants")
@@ -145,7 +148,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
             ok = [within_one(x, y) for x, y in zip(a, w, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(ok)), b.column("line").filter(pa.array(ok))], ["doc_id", "line"])
 
-    near = both.select("late.doc_id", "late.line", "late_words", "witness_words").mapInArrow(verified, "doc_id long, line int")
+    near = map_arrow(both.select("late.doc_id", "late.line", "late_words", "witness_words"), verified, "doc_id long, line int")
     return exact.unionByName(near).distinct()
 
 
@@ -160,7 +163,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     gone = written(gone, "gone")
     free_shuffles(docs.sparkSession)
     kept = docs.drop("removed_lines", "n_lines")
-    joined = kept.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = packed(kept, "doc_id", "text").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     text = joined.schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,8 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
                 columns[text], columns[-1] = pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*b.schema.names, "n_lines"])
 
-    return joined.mapInArrow(run, f"{ddl(joined)}, n_lines long")
+    rows = map_arrow(joined, run, f"{ddl(joined)}, n_lines long")
+    return rows.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in kept.columns], "n_lines", "removed_lines")
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:
