@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
         small = small.unionByName(low.select("u", F.col("lo").alias("v"))).distinct()
-        e = written(small, "edges")
+        e, last = written(small, "edges"), e
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
-from .common import free_shuffles, map_arrow, packed, table, unpacked, written
+from .common import discard, free_shuffles, map_arrow, packed, table, unpacked, written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 _hash = lambda s, seed=0: xxhash.xxh64_intdigest(s, seed) - (1 << 63)
@@ -115,7 +115,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line to remove, each once."""
+    """(doc_id, line) of every line to remove, each once, written."""
     place = F.struct("doc_id", "line")
     hashed = written(hashed_lines(docs), "lines")
     first = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
@@ -149,7 +149,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(ok)), b.column("line").filter(pa.array(ok))], ["doc_id", "line"])
 
     near = map_arrow(both.select("late.doc_id", "late.line", "late_words", "witness_words"), verified, "doc_id long, line int")
-    return exact.unionByName(near).distinct()
+    out = written(exact.unionByName(near).distinct(), "duplicates")
+    discard(hashed, first, exact, candidates, words, made)
+    return out
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
@@ -159,8 +161,10 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     as they are. Rows with one doc_id count as one document whose rows are treated alike. An empty table gives an empty
     result; columns named n_lines or removed_lines are replaced, others stay.
     """
-    gone = duplicates(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    found = duplicates(docs)
+    gone = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
     gone = written(gone, "gone")
+    discard(found)
     free_shuffles(docs.sparkSession)
     kept = docs.drop("removed_lines", "n_lines")
     joined = packed(kept, "doc_id", "text").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")

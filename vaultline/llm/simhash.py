@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import map_arrow, packed, table, unpacked, written
+from .common import discard, map_arrow, packed, table, unpacked, written
 from .components import connected_components
 
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and its lengths.
@@ -234,11 +234,13 @@ def groups(docs: DataFrame, radius: int = 4) -> DataFrame:
     fps = written(fingerprints(docs), "fps")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     distinct = written(distinct, "distinct")
-    comp = connected_components(links(distinct, radius))
+    linked = written(links(distinct, radius), "linked")
+    comp = connected_components(linked)
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_fp = written(named.join(least, "component").select("fp", "component_id"), "component_of")
+    discard(distinct, linked, named)
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
-from .common import free_shuffles, map_arrow, packed, table, unpacked, written
+from .common import discard, free_shuffles, map_arrow, packed, table, unpacked, written
 
 LENGTH, WINDOW = 200, 24
 #: Windows in a string; with HALF bytes before the trigger window or after it, one of both lies in every string.
@@ -162,7 +162,7 @@ def repeated_suffixes(contexts: list[bytes]) -> np.ndarray:
 
 
 def _repeats(contexts: DataFrame, most: int, chunk: int = 1_500_000) -> DataFrame:
-    """(doc, a, b): runs of starts of strings that occur twice, from contexts (key, doc, start, once, context).
+    """(doc, a, b): runs of starts of strings that occur twice, from contexts (key, doc, start, once, context), written.
 
     Contexts of one key are sorted together in chunks of whole keys. Those of a key with over `most` bytes are cut into
     their single strings, which meet by hash instead, however many they are.
@@ -225,7 +225,9 @@ def _repeats(contexts: DataFrame, most: int, chunk: int = 1_500_000) -> DataFram
     near = found.where("kind = 0").select("doc", "a", "b")
     single = found.where("kind = 1")
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    return near.unionByName(single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "a", "b"))
+    out = written(near.unionByName(single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "a", "b")), "partial")
+    discard(found)
+    return out
 
 
 def covered(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
@@ -247,11 +249,13 @@ def covered(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
     free_shuffles(docs.sparkSession)
     contexts = written(_contexts(docs, wanted), "contexts")
     free_shuffles(docs.sparkSession)
-    partial = written(_repeats(contexts, most), "partial")
+    partial = _repeats(contexts, most)
+    discard(shared, wanted, contexts)
     free_shuffles(docs.sparkSession)
     whole = _phrases(docs, halves=False).join(dictionary.where("not once").select("k1", "k2"), ["k1", "k2"], "left_semi")
     spans = whole.select("doc", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(partial)
     spans = written(spans.groupBy("doc").agg(F.collect_list(F.array("a", "b")).alias("spans")), "spans")
+    discard(dictionary, partial)
     free_shuffles(docs.sparkSession)
     return spans
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -57,7 +57,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     step = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "steps")
     if step.isEmpty():
         return start.withColumnRenamed("s", "score")
-    rank = start.withColumnRenamed("s", "score")
+    rank = start_rank = start.withColumnRenamed("s", "score")
     for _ in range(rounds):
         moved = rank.withColumnRenamed("host", "src").join(step, ["kind", "src"])
         moved = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
@@ -65,6 +65,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         new = written(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score")), "rank")
         both = new.join(rank.withColumnRenamed("score", "was"), ["kind", "host"], "full")
         change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        if rank is not start_rank:
+            discard(rank)
         rank = new
         if (change or 0.0) < tolerance:
             break
