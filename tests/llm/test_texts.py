@@ -11,7 +11,7 @@ GERMAN = ["die katze saß auf der matte und sah den mond an", "hier ist nichts a
 
 
 def test_language(docs, spark):
-    texts = [x for i in range(40) for x in (f"{ENGLISH[i % 2]} {i}", f"{GERMAN[i % 2]} {i}")] + ["", None, "123 !?", "windmoon treecat"]
+    texts = [x for i in range(40) for x in (f"{ENGLISH[i % 2]} {i}", f"{GERMAN[i % 2]} {i}")] + ["", None, "123 !? ² Ⅷ", "windmoon treecat"]
     rows = [(i, t, None if i > 79 else ("en", "de")[i % 2], 3.0, "q") for i, t in enumerate(texts)] + [(None, ENGLISH[0], "en", 1.0, "q"), (1, texts[1], "de", 1.0, "q")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
     got = language.identify(table).collect()
@@ -134,7 +134,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             rows = texts[i - 5].split("\n")
             rows[0] += " " + say(i % 3)
         texts.append("\n".join(rows))
-    texts += [None, "", "12 34", texts[7], texts[8] + "\n" + passage]
+    texts += [None, "", "12 34 ½", texts[7], texts[8] + "\n" + passage]
     spark.createDataFrame([(3 * i, t, "en", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, rest int").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     left = [(3 * i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]

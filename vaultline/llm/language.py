@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     matrix[len(memory)] = model.of_word(w)
                     memory[w] = len(memory)
                 for words in found:
-                    if not words or not model.langs:
+                    if not model.langs or not any(c.isalpha() for w in words for c in w):  # numerals like ² are no letters
                         langs.append(UNKNOWN)
                         scores.append(0.0)
                         continue
