@@ -31,22 +31,32 @@ def worker_blocks(df: DataFrame, workers: int, *order) -> DataFrame:
     return numbered(df, *order).withColumn("worker", F.floor((F.col("rn") - 1) / per).cast("int"))
 
 
+def _in_group(rows: DataFrame, group: list[str]) -> DataFrame:
+    """rows of numbered(df, *group, ...) with _i, the place in their group from 0, and _n, the group's size."""
+    sizes = rows.groupBy(*group).agg(F.min("rn").alias("_first"), F.count("*").alias("_n"))
+    keys = [F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    met = rows.alias("r").join(sizes.alias("g"), keys)
+    return met.select("r.*", (F.col("rn") - F.col("_first")).alias("_i"), "_n")
+
+
 def slice_sample(df: DataFrame, group: str, order: list[str], k: int, seed: int | None = None) -> DataFrame:
     """One row of each of min(k, n) equal slices [i n // k, (i + 1) n // k) of every group, in order: the middle one, or with a
-    seed a pseudo-random one. Groups are the shares of a store; a group's rows are numbered in one sorted pass."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
-    k_col = F.least(F.lit(k), F.col("_n")).cast("long")
+    seed a pseudo-random one. Rows are numbered over the whole table, so that a large group is no single task's."""
+    ranked = _in_group(numbered(df, group, *order), [group]).drop("rn")
+    ranked = ranked.withColumn("_k", F.least(F.lit(k), F.col("_n")).cast("long"))
     start = lambda i: F.floor(i * F.col("_n") / F.col("_k")).cast("long")
-    ranked = ranked.withColumn("_k", k_col).withColumn("slice", F.floor(((F.col("_i") + 1) * F.col("_k") - 1) / F.col("_n")).cast("long"))
+    ranked = ranked.withColumn("slice", F.floor(((F.col("_i") + 1) * F.col("_k") - 1) / F.col("_n")).cast("long"))
     a, b = start(F.col("slice")), start(F.col("slice") + 1)
     pick = a + F.floor((b - a) / 2) if seed is None else a + F.pmod(F.xxhash64(F.lit(seed), group, "slice"), b - a)
     return ranked.where(F.col("_i") == pick).drop("_n", "_i", "_k")
 
 
 def run_lengths(df: DataFrame, group: list[str], order: list[str], hit: str) -> DataFrame:
-    """Maximal runs of consecutive rows with hit, per group: (group, start, length), start counted from 0."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    rows = df.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
-    own = rows.where(F.col(hit)).withColumn("_k", F.col("_i") - F.row_number().over(w))
-    return own.groupBy(*group, "_k").agg(F.min("_i").alias("start"), F.count("*").alias("length")).drop("_k")
+    """Maximal runs of consecutive rows with hit, per group: (group, start, length), start counted from 0.
+
+    Along a run, a row's number among all rows and its number among the hits grow alike; their difference names the run. Both
+    are numbers over the whole table, so that a large group is no single task's.
+    """
+    rows = _in_group(numbered(df, *group, *order), group)
+    own = numbered(rows.where(F.col(hit)), *group, *order, name="_hit").withColumn("_run", F.col("rn") - F.col("_hit"))
+    return own.groupBy(*group, "_run").agg(F.min("_i").alias("start"), F.count("*").alias("length")).drop("_run")

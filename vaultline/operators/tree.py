@@ -93,8 +93,9 @@ def toggle_off(dirs: DataFrame, chosen: DataFrame, node) -> DataFrame:
     """chosen without node's subtree: a chosen ancestor is replaced by the siblings along the chain from it down to node."""
     tree = directories(dirs).select("id", "ancestors")
     chain = tree.where(F.col("id") == node).select(F.posexplode("ancestors").alias("depth", "id"))
-    over = chain.join(chosen.distinct(), "id", "left_semi").agg(F.min("depth").alias("top"))
-    path = chain.crossJoin(F.broadcast(over)).where("top is not null and depth >= top").select("depth", "id")  # one row on either side of it
+    marked = chain.join(chosen.select("id", F.lit(True).alias("marked")).distinct(), "id", "left")
+    top = F.min(F.when(F.col("marked"), F.col("depth"))).over(Window.partitionBy(F.lit(1)))  # as many rows as the node is deep
+    path = marked.withColumn("top", top).where("depth >= top").select("depth", "id")
     siblings = dirs.select("id", "parent").join(path.where(F.col("id") != node).select(F.col("id").alias("parent")), "parent", "left_semi")
     siblings = siblings.select("id").join(path.select("id"), "id", "left_anti")
     below = tree.where(F.array_contains("ancestors", F.lit(node))).select("id")
