@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
+#: White space but for the blank.
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 #: Entries of a worker's memory of words; at this size it starts anew.
-MEMORY = 350_000
+MEMORY = 800_000
 
 
 @lru_cache(1)
@@ -91,23 +93,21 @@ class WordEncoder:
         tokenizer.model._resize_cache(0)  # words are remembered here
         self.lengths = np.array([len(p) for p in token_bytes(tokenizer)], np.int64)
 
-    def _words(self, text: str) -> list[str]:
-        words = text.split(" ")
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                return [text]
-        words[1:] = [" " + w for w in words[1:]]
-        return words
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """The words between blanks, or the text as a whole."""
+        odd = text[0].isspace() or text[-1].isspace() or "  " in text
+        if odd or any(c in text and (f" {c}" in text or f"{c} " in text) for c in WHITE):
+            return [text]
+        return text.split(" ")
 
     def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words that begin with their blank are joined, encoded together and cut by the lengths of their tokens."""
-        alone = [w for w in words if w[0] != " "]
-        joined = [w for w in words if w[0] == " "]
-        parts = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+        """Words with the blank before them: joined, encoded together and cut by the lengths of their tokens."""
+        parts, alone = [words[i : i + 500] for i in range(0, len(words), 500)], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             at = np.cumsum(self.lengths[ids])
-            ends = np.cumsum([len(w.encode()) for w in part])
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
             cut = np.searchsorted(at, ends)
             if not np.array_equal(at[np.minimum(cut, len(at) - 1)], ends):
                 alone += part
@@ -115,19 +115,22 @@ class WordEncoder:
             raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
             for w, a, b in zip(part, [0, *cut], cut, strict=False):
                 yield w, raw[a:b]
-        for i in range(0, len(alone), 4096):
-            part = alone[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                yield w, np.array(e.ids, "<u4").tobytes()
+        yield from zip(alone, self._encode_whole([" " + w for w in alone]), strict=True)
+
+    def _encode_whole(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        memory, split = self.memory, [self._words(t) if t else [] for t in texts]
-        new = set().union(*split).difference(memory)
+        memory, rest = self.memory, [self._words(t) if t else [""] for t in texts]
+        first = list(self._encode_whole([words.pop(0) for words in rest]))
+        new = set().union(*rest).difference(memory)
         memory.update(self._encode_words(list(new)))
-        out = [b"".join(map(memory.__getitem__, words)) for words in split]
+        out = [a + b"".join(map(memory.__getitem__, words)) for a, words in zip(first, rest, strict=True)]
         for w in new:
             if len(w) > 48:
                 del memory[w]
