@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
-from .common import table, written
+from .common import map_arrow, table, written
 
 SIZE = 2048
 #: The most patterns that are enumerated; triples are thinned out evenly to fit.
 MOST_PATTERNS = 12_000
 
 
-def patterns(hist: np.ndarray, most: int = MOST_PATTERNS) -> np.ndarray:
-    """Rows of up to three lengths, largest first, that occur in hist (count by length) and sum to its last index.
+def patterns(hist: np.ndarray, most: int = MOST_PATTERNS, depth: int = 3) -> np.ndarray:
+    """Rows of up to depth (two or three) lengths, largest first, that occur in hist (count by length) and sum to its last index.
 
     All singles and pairs, and triples thinned out evenly so that no more than `most` rows come out. Unused places are 0.
     """
@@ -39,7 +39,7 @@ def patterns(hist: np.ndarray, most: int = MOST_PATTERNS) -> np.ndarray:
     found.append(np.stack([a, size - a, np.zeros_like(a)], 1))
     lengths = np.flatnonzero(there[:size])
     triples = []
-    for b in lengths:
+    for b in lengths if depth > 2 else ():
         c = lengths[lengths <= b]
         a = size - b - c
         ok = a >= b
@@ -76,10 +76,17 @@ def fit_repeats(rows: np.ndarray, hist: np.ndarray, rounds: int = 400) -> np.nda
 
 
 def plan(hist: np.ndarray, most: int = MOST_PATTERNS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeats) that use up hist exactly; hist[n] is the number of pieces of n tokens."""
+    """(lengths of a sequence, repeats) that use up hist exactly; hist[n] is the number of pieces of n tokens.
+
+    Fitted twice, with patterns of up to two and of up to three lengths; the plan with fewer sequences is taken.
+    """
+    return min((_plan(hist, most, depth) for depth in (3, 2)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(hist: np.ndarray, most: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     size, left = len(hist) - 1, hist.astype(np.int64).copy()
     left[0], out = 0, []
-    rows = patterns(left, most)
+    rows = patterns(left, most, depth)
     if len(rows):
         x = fit_repeats(rows, left)
         for i in np.argsort(-x, kind="stable"):
@@ -131,7 +138,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def _places(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
@@ -153,14 +160,15 @@ def place(cut: DataFrame, size: int = SIZE, rows_per_group: int = 50_000) -> Dat
     """`cut` (as pieces() gives it, written) with sequence_id and offset: gapless from 0 in each sequence.
 
     Pieces of one length are interchangeable for the plan. Each needs its rank among them: they are dealt by a hash into
-    groups of about rows_per_group, ranked in their group, and shifted by the sizes of the groups before, so that a length
+    groups of at most about rows_per_group or a partition's share, ranked in their group, and shifted by the sizes of the groups before, so that a length
     that a third of all pieces have is no single task's. The driver gets a histogram of `size` entries.
     """
     hist = np.zeros(size + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
         hist[r.length] = r.n
     keys, sequences, offsets = _places(plan(hist))
-    n = max(1, -(-int(hist.max()) // rows_per_group))
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-int(hist.max()) // min(rows_per_group, max(1, int(hist.sum()) // parts))))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
@@ -179,7 +187,7 @@ def place(cut: DataFrame, size: int = SIZE, rows_per_group: int = 50_000) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:5], "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
