@@ -2,13 +2,13 @@ from vaultline.sources import layout
 
 
 def test_layout(spark, tmp_path):
-    for name in ("a/x.hbk/Config/@Share/one/1.db", "a/x.hbk/Config/@Share/one/2.db", "a/x.hbk/Config/@Share/one/2.db.3", "a/x.hbk/Config/@Share/two/2.db", "a/x.hbk/Config/@Share/two/complete_list.db",
-                 "a/x.hbk/Config/@Share/two/._9.db", "a/x.hbk/Pool/10/0/1.bucket", "a/x.hbk/Pool/2/0/1.bucket", "b/Config/only.txt", "c/thing", "c/thing.1", "c/thing.5", "c/thing.2", "c/._thing.9", "c/thing.bak"):
+    for name in ("a/x.arc/Config/@Share/one/1.db", "a/x.arc/Config/@Share/one/2.db", "a/x.arc/Config/@Share/one/2.db.3", "a/x.arc/Config/@Share/two/2.db", "a/x.arc/Config/@Share/two/complete_list.db",
+                 "a/x.arc/Config/@Share/two/._9.db", "a/x.arc/Pool/10/0/1.bucket", "a/x.arc/Pool/2/0/1.bucket", "b/Config/only.txt", "c/thing", "c/thing.1", "c/thing.5", "c/thing.2", "c/._thing.9", "c/thing.bak"):
         place = tmp_path / name
         place.parent.mkdir(parents=True, exist_ok=True)
         place.write_text(name)
     files = layout.listing(spark, str(tmp_path))
-    assert [r.root for r in layout.archives(files).collect()] == [f"{tmp_path}/a/x.hbk"]
+    assert [r.root for r in layout.archives(files).collect()] == [f"{tmp_path}/a/x.arc"]
     assert sorted(map(tuple, layout.share_versions(files).collect())) == [("one", 1), ("one", 2), ("two", 2)]
     assert sorted(r.pool for r in layout.pools(files).collect()) == [2, 10]
     newest = {r.base.rsplit("/", 1)[1]: (r.gen, r.path.rsplit("/", 1)[1]) for r in layout.generations(files).where("path like '%/c/%'").collect()}
