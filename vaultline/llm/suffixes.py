@@ -135,44 +135,61 @@ def repeated_suffixes(contexts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
     n = len(data) - 8
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    wide = np.zeros(n, np.uint64)
-    for i in range(8):
-        wide = (wide << np.uint64(8)) | data[i : n + i]
-    rank = np.unique(wide, return_inverse=True)[1].astype(np.uint64)
-    ranks, size = {8: rank}, 8
-    while size < 128:
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(0, n - size)] = rank[size:]
-        rank = np.unique((rank << np.uint64(32)) | ahead, return_inverse=True)[1].astype(np.uint64)
-        size *= 2
-        ranks[size] = rank
-    at = np.flatnonzero(np.arange(n) + LENGTH <= ends)
+    room = np.repeat(np.cumsum(sizes).astype(np.uint32), sizes) - np.arange(n, dtype=np.uint32)
+    at = np.flatnonzero(room >= LENGTH)
+    del room
     found = np.zeros(n, bool)
     if not len(at):
         return found
-    # 200 = 128 + 64 + 8
-    low = np.unique((ranks[64][at + 128] << np.uint64(32)) | ranks[8][at + 192], return_inverse=True)[1].astype(np.uint64)
-    whole = (ranks[128][at] << np.uint64(32)) | low
-    order = np.argsort(whole, kind="stable")  # the suffixes in order, as far as their first 200 bytes tell
-    same = whole[order][1:] == whole[order][:-1]
-    twice = np.append(False, same) | np.append(same, False)
-    found[at[order[twice]]] = True
+
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        """Each key's place among the distinct keys in order."""
+        order = np.argsort(keys)
+        new = np.empty(len(keys), np.uint32)
+        new[0], new[1:] = 0, keys[order[1:]] != keys[order[:-1]]
+        out = np.empty(len(keys), np.uint32)
+        out[order] = np.cumsum(new, dtype=np.uint32)
+        return out
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= b
+        return keys
+
+    keys = np.zeros(n, np.uint64)
+    for i in range(8):
+        keys <<= np.uint64(8)
+        keys |= data[i : n + i]
+    ranks, size = {8: ranked(keys)}, 8
+    del keys
+    while size < 128:
+        ahead = np.zeros(n, np.uint32)
+        ahead[: max(0, n - size)] = ranks[size][size:]
+        ranks[2 * size] = ranked(joined(ranks[size], ahead))
+        if size > 8:
+            del ranks[size]
+        size *= 2
+        if size == 64:
+            low = ranked(joined(ranks[64][at + 128], ranks[8][at + 192]))  # 200 = 128 + 64 + 8
+    whole = ranked(joined(ranks[128][at], low))  # the suffixes' order, as far as their first 200 bytes tell
+    found[at] = np.bincount(whole)[whole] > 1
     return found
 
 
-def _repeats(contexts: DataFrame, most: int, chunk: int = 1_500_000) -> DataFrame:
+def _repeats(contexts: DataFrame, most: int, chunk: int = 1_000_000) -> DataFrame:
     """(doc, a, b): runs of starts of strings that occur twice, from contexts (key, doc, start, once, context), written.
 
-    Contexts of one key are sorted together in chunks of whole keys. Those of a key with over `most` bytes are cut into
-    their single strings, which meet by hash instead, however many they are.
+    Contexts of one key are sorted together, in chunks of whole keys. Those of a key with over `most` bytes never meet in one
+    task: they are cut into their single strings, which meet by their hashes instead, counted before they are shuffled.
     """
-    rows = contexts.repartition("key").sortWithinPartitions("key")
-    names = ["kind", "h1", "h2", "doc", "a", "b", "once"]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    hot = contexts.groupBy("key").agg(F.sum(F.length("context")).alias("n")).where(F.col("n") > most).select("key")
+    hot = written(hot, "hot")
+    names = ["doc", "a", "b"]
+    kinds = (pa.int64(), pa.int32(), pa.int32())
 
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 7
+    def made(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def runs(part: list[tuple]) -> pa.RecordBatch:
@@ -180,57 +197,51 @@ def _repeats(contexts: DataFrame, most: int, chunk: int = 1_500_000) -> DataFram
         for _, doc, start, once, context in part:
             if once:
                 hit = np.flatnonzero(np.diff(found[at : at + len(context)].astype(np.int8), prepend=0, append=0))
-                out += [(0, 0, 0, doc, start + a, start + b - 1, True) for a, b in hit.reshape(-1, 2).tolist()]
+                out += [(doc, start + a, start + b - 1) for a, b in hit.reshape(-1, 2).tolist()]
             at += len(context)
-        return made(out)
+        return made(out, names, kinds)
 
-    def singly(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(part), 200):
-            out = []
-            for _, doc, start, once, context in part[i : i + 200]:
-                for k in range(len(context) - LENGTH + 1):
-                    h = xxhash.xxh3_128_intdigest(context[k : k + LENGTH])
-                    out.append((1, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, start + k, start + k, once))
-            yield made(out)
+    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*[b.column(c).to_pylist() for c in ("key", "doc", "start", "once", "context")], strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # whole keys
-        ready_bytes = 0
-        held: list[tuple] = []  # of the current key
-        held_bytes, spilled = 0, False
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
+        size = 0
         for b in batches:
-            for row in zip(*[b.column(c).to_pylist() for c in ("key", "doc", "start", "once", "context")], strict=True):
-                if held and row[0] != held[0][0]:
-                    if spilled:
-                        yield from singly(held)
-                    else:
-                        ready, ready_bytes = ready + held if ready else held, ready_bytes + held_bytes
-                    held, held_bytes, spilled = [], 0, False
-                    if ready_bytes > chunk:
-                        yield runs(ready)
-                        ready, ready_bytes = [], 0
-                held.append(row)
-                held_bytes += len(row[4])
-                if held_bytes > most:
-                    yield from singly(held)
-                    held, held_bytes, spilled = [row[:4] + (b"",)], 0, True  # remembers the key
-        if spilled:
-            yield from singly(held)
-        else:
-            ready += held
-        if ready:
-            yield runs(ready)
-
-    found = written(map_arrow(rows, run, "kind int, h1 long, h2 long, doc long, a int, b int, once boolean"), "repeats")
-    near = found.where("kind = 0").select("doc", "a", "b")
-    single = found.where("kind = 1")
+            for row in rows_of(b):
+                if size > chunk and row[0] != part[-1][0]:
+                    yield runs(part)
+                    part, size = [], 0
+                part.append(row)
+                size += len(row[4])
+        if part:
+            yield runs(part)
+
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 200):
+                out = []
+                for _, doc, start, once, context in rows_of(whole.slice(i, 200)):
+                    for k in range(len(context) - LENGTH + 1):
+                        h = xxhash.xxh3_128_intdigest(context[k : k + LENGTH])
+                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, start + k, once))
+                yield made(out, ["h1", "h2", "doc", "a", "once"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))
+
+    cold = contexts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    near = map_arrow(cold, together, "doc long, a int, b int")
+    if hot.isEmpty():
+        out = written(near, "partial")
+        discard(hot)
+        return out
+    single = written(map_arrow(contexts.join(hot, "key", "left_semi").select(*contexts.columns), singly, "h1 long, h2 long, doc long, a int, once boolean"), "single")
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    out = written(near.unionByName(single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "a", "b")), "partial")
-    discard(found)
+    met = single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "a", F.col("a").alias("b"))
+    out = written(near.unionByName(met), "partial")
+    discard(hot, single)
     return out
 
 
-def covered(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
+def covered(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     """(doc, spans): for each document with a repeated string, its runs of starts as arrays [from, to]. docs: doc, text."""
     dictionary = _phrases(docs, halves=True).groupBy("k1", "k2").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "trigger", "first", "last", "before", "after")).alias("p")
