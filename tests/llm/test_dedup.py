@@ -37,6 +37,15 @@ def test_lines_equal_brute_force(docs):
         assert r.text == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(r.doc_id, [])))
 
 
+def test_variant_hashes():
+    words = [f"w{i % 3}" for i in range(7)]
+    h = lines.variant_hashes(words)
+    assert len(h) == 8
+    for i in range(7):
+        assert h[i + 1] == lines.variant_hashes(words[:i] + words[i + 1 :])[0]
+    assert len(set(lines.variant_hashes([f"x{i}" for i in range(50_000)]).tolist())) == 50_001
+
+
 def test_lines_stage(docs):
     copy = "one two three four five six seven eight nine ten"
     made = docs([copy + "\nshort", copy, "", None, copy.replace("five", "fünf")], ids=[4, 5, 6, 7, None])

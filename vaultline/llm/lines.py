@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ from .bpe import ddl, slices
 from .common import discard, free_shuffles, map_arrow, packed, table, unpacked, written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: An odd multiplier and its inverse modulo 2^64.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 2**64)
 _hash = lambda s, seed=0: xxhash.xxh64_intdigest(s, seed) - (1 << 63)
 
 
@@ -91,25 +95,34 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows.select("doc_id", "text", "lines"), run, "doc_id long, line int, words array<string>").distinct()
 
 
+def variant_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the line as it is, and with each of its words deleted, in time proportional to its length.
+
+    A sequence hashes to the sum of its words' hashes times powers of BASE, the last word's 1; without word i the words
+    before it lose one power each.
+    """
+    n = len(words)
+    w = np.fromiter((xxhash.xxh64_intdigest(x) for x in words), np.uint64, n)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE, np.uint64)]), dtype=np.uint64)[:n][::-1]
+    before = np.concatenate([[np.uint64(0)], np.cumsum(w * powers, dtype=np.uint64)])
+    rest = before[:-1] * np.uint64(INVERSE) + (before[-1] - before[1:])
+    h = np.concatenate([before[-1:], rest])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
 def variants(lines: DataFrame) -> DataFrame:
     """doc_id, line, key, at for each line of (doc_id, line, words): with word `at` deleted, or as it is (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, len(whole), 200):
-                b, out = whole.slice(k, 200), []
-                for doc, line, words in zip(*[b.column(c).to_pylist() for c in ("doc_id", "line", "words")], strict=True):
-                    joined = " ".join(words)
-                    out.append((doc, line, _hash(joined), -1))
-                    a = 0
-                    for i, w in enumerate(words):
-                        e = a + len(w) + 1
-                        left = joined[:a] + joined[e:] if i < len(words) - 1 else joined[: max(0, a - 1)]
-                        out.append((doc, line, _hash(left), i))
-                        a = e
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "line", "key", "at"])
+            for k in range(0, len(whole), 500):
+                b = whole.slice(k, 500)
+                keys = [variant_hashes(w) for w in b.column("words").to_pylist()]
+                sizes = [len(x) for x in keys]
+                at = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes])
+                doc, line = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc_id", "line"))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), pa.array(np.concatenate(keys)), pa.array(at)], ["doc_id", "line", "key", "at"])
 
     return map_arrow(lines, run, "doc_id long, line int, key long, at int")
 
@@ -195,7 +208,26 @@ def keep_new_lines(docs: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines, kept_sha256 (of the text that stays; a null text counts as empty)."""
+    """doc_id, n_lines, n_removed, removed_lines (a comma list), kept_sha256 (of the text that stays; a null text counts as empty)."""
     rest = without_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
-    return rest.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", digest)
+    return rest.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), digest)
+
+
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, line, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, i, w, len(w) AS n FROM w WHERE len(w) >= 5),
+f AS (SELECT w, n, min((doc_id, i)) AS first FROM k GROUP BY w, n),
+exact AS (SELECT k.doc_id, k.i FROM k JOIN f ON k.w = f.w WHERE (k.doc_id, k.i) <> f.first),
+q AS (SELECT a.first AS late, a.w AS x, b.w AS y, a.n AS n, b.n AS m,
+    coalesce(list_position(list_transform(list_zip(a.w[:least(a.n, b.n)], b.w[:least(a.n, b.n)]), lambda z: z[1] = z[2]), false), least(a.n, b.n) + 1) AS p
+  FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first WHERE a.n >= 10 AND b.n >= 10),
+near AS (SELECT DISTINCT late FROM q WHERE x[p + CASE WHEN n >= m THEN 1 ELSE 0 END:] = y[p + CASE WHEN m >= n THEN 1 ELSE 0 END:]),
+gone AS (SELECT doc_id, i FROM exact UNION SELECT late[1], late[2] FROM near),
+o AS (SELECT w.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(g.i::VARCHAR, ',' ORDER BY g.i) FILTER (g.i IS NOT NULL), '') AS removed_lines,
+    coalesce(string_agg(w.line, chr(10) ORDER BY w.i) FILTER (g.i IS NULL), '') AS kept
+  FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
