@@ -350,3 +350,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, hash(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS i FROM b)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+z AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, run),
+p AS (SELECT z.doc_id, a, z, substring(h, 2 * coalesce(lag(z) OVER (PARTITION BY z.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY z.doc_id ORDER BY a), 0))) AS kept
+  FROM z JOIN b USING (doc_id)),
+o AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS runs, max(z) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM p GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM b LEFT JOIN o USING (doc_id)
+"""
