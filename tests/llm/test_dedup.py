@@ -109,7 +109,7 @@ def test_golay_keys():
     assert max(map(len, own)) == 6
 
 
-@pytest.mark.parametrize("limits", [{}, {"few": 2, "most": 6}, {"few": 3, "most": 60}])
+@pytest.mark.parametrize("limits", [{}, {"few": 2, "most": 6, "sample": 1}, {"few": 3, "most": 60, "sample": 2}])
 def test_links_connect_what_radius_connects(spark, limits):
     rng = np.random.default_rng(1)
     found = set()

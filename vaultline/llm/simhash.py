@@ -143,83 +143,68 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _edge_batch(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
-    a, b = src.view(np.int64), dst.view(np.int64)
-    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+def _edges(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def links(distinct: DataFrame, radius: int = 4, few: int = 8, most: int = 20_000) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, few: int = 8, most: int = 20_000, sample: int = 16) -> DataFrame:
     """Edges (src < dst) between different fingerprints at most `radius` (up to 4, which the keys guarantee) bits apart.
 
     Every bucket gives edges that connect what its links connect, not all of its pairs: buckets of up to `few` fingerprints
-    are compared as a whole, larger ones searched breadth first, and those of over `most` are dealt into blocks, of
-    which every two are searched together by a task of their own. No link is lost to a bucket's size.
+    are compared as a whole, larger ones searched breadth first. Buckets of over `most`, as one in `sample` fingerprints tells,
+    never meet in one task, but are dealt into blocks by a hash, of which every two are searched together. Either way gives the
+    same components: the sample decides on the work's division alone, and no link is lost to size.
     """
     if not 0 <= radius <= 4:
         raise ValueError("radius must be 0 to 4")
-    keyed = fuzzy_keys(distinct).repartition("key").sortWithinPartitions("key", "fp")
-    names = ["kind", "key", "a", "b"]  # kind 0: edge a, b; 1: fingerprint a of block b; 2: a blocks
-
-    def batch(kind: int, key: int, a, b) -> pa.RecordBatch:
-        n = len(a)
-        columns = [np.full(n, kind, np.int32), np.full(n, key, np.int32), np.asarray(a, np.int64), np.asarray(b, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    def small(fps: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for d in range(1, few):
-            if d >= len(fps):
-                return
-            hit = (keys[d:] == keys[:-d]) & (np.bitwise_count((fps[d:] ^ fps[:-d]).view(np.uint64)) <= radius)
+    keyed = fuzzy_keys(distinct)
+    some = fuzzy_keys(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0))
+    hot = some.groupBy("key").agg((F.count("*") * sample).alias("n")).where(F.col("n") > most)
+    hot = written(hot, "hot")
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    def whole(fps: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Edges of whole buckets, in order of key and fingerprint."""
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(at, len(fps)))
+        inside = np.repeat(size <= few, size)
+        f, k = fps[inside], keys[inside]
+        for d in range(1, min(few, len(f))):
+            hit = (k[d:] == k[:-d]) & (np.bitwise_count((f[d:] ^ f[:-d]).view(np.uint64)) <= radius)
             if hit.any():
-                yield batch(0, 0, fps[:-d][hit], fps[d:][hit])
-
-    def searched(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if edges := forest(fps, radius):
-            e = _edge_batch(*(np.array(x, np.uint64) for x in zip(*edges, strict=True)))
-            yield batch(0, 0, e["a"], e["b"])
+                yield batch(f[:-d][hit], f[d:][hit])
+        for i, n in zip(at[size > few].tolist(), size[size > few].tolist(), strict=True):
+            if edges := forest(fps[i : i + n], radius):
+                yield batch(*_edges(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_f, held_k, blocks = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
-
-        def closed(fps: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal blocks
-            if not len(fps):
-                return
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(at, len(fps)))
-            if blocks:  # the first bucket's earlier blocks have gone
-                yield batch(1, keys[0], fps[: size[0]], np.full(size[0], blocks))
-                yield batch(2, keys[0], [blocks + 1], [0])
-                at, size, blocks = at[1:], size[1:], 0
-            inside = np.repeat(size <= few, size)
-            start = len(fps) - int(size.sum())
-            yield from small(fps[start:][inside], keys[start:][inside])
-            for a, n in zip(at[size > few].tolist(), size[size > few].tolist(), strict=True):
-                yield from searched(fps[a : a + n])
-
+        held_f, held_k = np.zeros(0, np.int64), np.zeros(0, np.int32)  # the last bucket may go on in the next batch
         for b in batches:
             fps = np.concatenate([held_f, b.column("fp").to_numpy()])
             keys = np.concatenate([held_k, b.column("key").to_numpy()])
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            yield from closed(fps[:last], keys[:last])
+            if last:
+                yield from whole(fps[:last], keys[:last])
             held_f, held_k = fps[last:], keys[last:]
-            while len(held_f) > most:
-                yield batch(1, held_k[0], held_f[:most], np.full(most, blocks))
-                held_f, held_k, blocks = held_f[most:], held_k[most:], blocks + 1
-        yield from closed(held_f, held_k)
-
-    found = written(map_arrow(keyed, run, "kind int, key int, a long, b long"), "links")
-    edges = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    counts = found.where("kind = 2").select("key", F.col("a").alias("n"))
-    big = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("block")).join(counts, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        if len(held_f):
+            yield from whole(held_f, held_k)
+
+    none_hot = hot.isEmpty()
+    cold = keyed if none_hot else keyed.join(hot, "key", "left_anti").select("fp", "key")
+    edges = map_arrow(cold.repartition("key").sortWithinPartitions("key", "fp"), run, "src long, dst long")
+    if none_hot:
+        return edges
+    blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+    big = keyed.join(hot, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = big.withColumn("other", other).select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def two(t: pa.Table) -> pa.Table:
-        edges = forest(np.unique(t.column("fp").to_numpy()), radius)
-        pair = [np.array(x, np.uint64) for x in zip(*edges, strict=True)] or [np.zeros(0, np.uint64)] * 2
-        e = _edge_batch(*pair)
-        return pa.table({"src": e["a"], "dst": e["b"]})
+        a, b = _edges(forest(np.unique(t.column("fp").to_numpy()), radius))
+        return pa.table({"src": a, "dst": b})
 
     return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(two, "src long, dst long"))
 
