@@ -153,6 +153,15 @@ def test_groups_and_stage(docs):
     assert simhash.groups(docs(["x"]).where("false")).collect() == []
 
 
+def test_stage_tells_rows_apart_without_ids(docs):
+    """Unrelated rows without an id, or with the same one, all stay; of a group with an id, no row without one does."""
+    unlike = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    texts = [*unlike[:4], unlike[0], unlike[4], unlike[4], unlike[5], unlike[6]]
+    ids = [None, None, None, None, None, 2, None, 5, 5]
+    kept = sorted((r.text, r.doc_id) for r in simhash.keep_one(docs(texts, ids)).collect())
+    assert kept == [*((t, None) for t in unlike[:4]), (unlike[4], 2), (unlike[5], 5), (unlike[6], 5)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(70)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

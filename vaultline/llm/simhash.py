@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -229,20 +229,39 @@ def groups(docs: DataFrame, radius: int = 4) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text and the rest of every row of `docs`, written: row tells rows apart that have no id, or the same one."""
+    rows = packed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+
+
+def first_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of numbered_rows() that come first in their component, by doc_id (null last), text and row; label: (row, component)."""
+    of = written(label.join(rows.select("row", "doc_id"), "row"), "labels")
+    best = of.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id")).alias("best"))
+    tied = of.join(best, "component").where(F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).select("component", "row")
+    tied = written(tied, "tied")
+    n = tied.groupBy("component").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    n = written(n, "first")
+    keep = n.where("n = 1").select("row")
+    if not n.where("n > 1").isEmpty():
+        several = tied.join(n.where("n > 1").select("component"), "component").join(rows.select("row", "text"), "row")
+        several = several.groupBy("component").agg(F.min(F.struct(F.isnull("text").alias("none"), "text", "row")).alias("first"))
+        keep = keep.unionByName(several.select(F.col("first.row").alias("row")))
+    return rows.join(keep, "row")
+
+
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id; columns stay as they are.
 
-    Of rows that repeat this id, the first in order of text stays. Rows without an id stay only where a group has no id at
-    all; then the group's rows count as one document, and the first in order of text stays.
+    Rows are told apart by a number of their own, not by doc_id: rows without an id, or with the same one, are documents like
+    others. Of a group's rows that repeat the smallest id, the first in order of text stays. A row without an id stays where no
+    row of its group has one, and only the first in order of text does.
     """
-    found = groups(docs, radius).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = written(found.withColumnRenamed("doc_id", "keep"), "kept")
-    rows = packed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
-    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("keep")))
-    if not found.where("n > 1").isEmpty():
-        first = Window.partitionBy("keep").orderBy("text")
-        kept = kept.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at")
-    return unpacked(kept.drop("keep", "n"), docs)
+    rows = numbered_rows(docs)
+    found = groups(rows.select(F.col("row").alias("doc_id"), "text"), radius)
+    label = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    return unpacked(first_rows(rows, label).drop("row"), docs)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
