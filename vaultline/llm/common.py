@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of UTF-8 text, and A-Z in lower case.
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder; the path may be on any store that Spark reads."""

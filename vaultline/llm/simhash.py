@@ -9,7 +9,6 @@ share a key each: a pair of segments with a key of each is a join key of 24 bits
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -21,14 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import discard, map_arrow, packed, table, unpacked, written
+from .common import LOWER, WORDS, discard, map_arrow, packed, table, unpacked, written
 from .components import connected_components
+from .minhash import near_copies
 
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and its lengths.
 GENERATOR, N_BITS, DATA_BITS = 0b110001110101, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -251,16 +249,17 @@ def first_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(keep, "row")
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id; columns stay as they are.
 
+    Near copies are what links of at least this Jaccard likeness of `width`-word shingles connect (minhash.near_copies), not
+    what op10 calls a group: at likeness 0.8 fingerprints differ in about 10 of 64 bits.
     Rows are told apart by a number of their own, not by doc_id: rows without an id, or with the same one, are documents like
     others. Of a group's rows that repeat the smallest id, the first in order of text stays. A row without an id stays where no
     row of its group has one, and only the first in order of text does.
     """
     rows = numbered_rows(docs)
-    found = groups(rows.select(F.col("row").alias("doc_id"), "text"), radius)
-    label = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    label = near_copies(rows.select("row", "text"), width, similarity)
     return unpacked(first_rows(rows, label).drop("row"), docs)
 
 
