@@ -121,3 +121,25 @@ def test_fingerprints(docs, monkeypatch, batch):
     assert sorted(map(tuple, rows), key=key) == sorted(expected, key=key)
     assert fp.fingerprint(docs(["x"]).where("false")).collect() == []
     assert [r.near_next for r in fp.fingerprint(docs(["only one"])).collect()] == [1.0]
+
+
+def test_verdicts_do_not_depend_on_unrelated_hosts(spark):
+    """A small graph has the same verdicts and scores alone and beside 5,000 blocked hosts that it has no links with."""
+    link = '<a href="http://{}/">y</a>'
+    pages = [(0, "http://bad.net/", None), (1, "http://shady.info/", link.format("bad.net")), (2, "http://worse.info/", link.format("shady.info"))]
+    more = [(10 + i, f"http://h{i}.net/", None) for i in range(5000)]
+    judged = lambda rows: {
+        r.page_id: (r.verdict, r.distrust)
+        for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 10").collect()
+    }
+    alone = judged(pages)
+    assert alone == judged(pages + more) and {v for v, _ in alone.values()} == {"block"}
+
+
+def test_propagation_ends_by_tolerance_or_raises(spark):
+    edges = spark.createDataFrame([("trust", "a", "b", 1), ("trust", "b", "a", 1)], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a")], "kind string, host string")
+    got = {r.host: r.score for r in urls.propagate(edges, seeds, damping=0.5).collect()}
+    assert abs(got["a"] - 2 / 3) < 1e-5 and abs(got["b"] - 1 / 3) < 1e-5
+    with pytest.raises(RuntimeError):
+        urls.propagate(edges, seeds, rounds=3)

@@ -45,14 +45,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(kind, host, score) by personalised PageRank over edges (kind, src, dst, n), restarting at seeds (kind, host).
 
-    Seeds of a kind share its mass equally. The mass of hosts without links falls away. Ends once the scores move by
-    less than the tolerance in all, or after so many rounds; each round is written, which cuts lineage.
+    Every seed restarts with a mass of 1, so that a host's scores come from the links that lead to it and not from how many
+    other seeds there are. The mass of hosts without links falls away. Ends once no score moves by more than the tolerance;
+    a round moves a kind's mass by 0.85 of the last one's at most. Raises if so many rounds don't do. Each round is written, which cuts lineage.
     """
-    share = seeds.groupBy("kind").agg(F.count("*").alias("k"))
-    start = written(seeds.join(share, "kind").select("kind", "host", (1 / F.col("k")).alias("s")), "seeds")
+    start = written(seeds.select("kind", "host", F.lit(1.0).alias("s")), "seeds")
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     step = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "steps")
     if step.isEmpty():
@@ -64,13 +64,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         back = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("score"))
         new = written(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score")), "rank")
         both = new.join(rank.withColumnRenamed("score", "was"), ["kind", "host"], "full")
-        change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        change = both.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         if rank is not start_rank:
             discard(rank)
         rank = new
         if (change or 0.0) < tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"scores still move by {change} after {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, least: float = 1e-4) -> DataFrame:
