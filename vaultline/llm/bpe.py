@@ -64,9 +64,7 @@ def from_ranks(path: str):
 def from_json(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def token_bytes(tokenizer) -> list[bytes]:
@@ -84,7 +82,8 @@ class WordEncoder:
 
     The split pattern never joins what stands before a single blank with what follows it, if neither neighbour of
     the blank is white space; so a text can be encoded word by word (each with the blank before it) and every
-    distinct word once. Texts with other white space next to a blank, or at either end, go whole.
+    distinct word once. Texts with other white space next to a blank, or at either end, go whole, and so do those that
+    hold the string of a token that the tokenizer file adds to its vocabulary: the library cuts such texts there.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -92,11 +91,11 @@ class WordEncoder:
         self.tokenizer, self.memory = tokenizer, {}
         tokenizer.model._resize_cache(0)  # words are remembered here
         self.lengths = np.array([len(p) for p in token_bytes(tokenizer)], np.int64)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
         """The words between blanks, or the text as a whole."""
-        odd = text[0].isspace() or text[-1].isspace() or "  " in text
+        odd = text[0].isspace() or text[-1].isspace() or "  " in text or any(t in text for t in self.added)
         if odd or any(c in text and (f" {c}" in text or f"{c} " in text) for c in WHITE):
             return [text]
         return text.split(" ")

@@ -119,6 +119,7 @@ def _plan(hist: np.ndarray, most: int, depth: int) -> list[tuple[tuple[int, ...]
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a document's ids and a closing 0, cut at every `size` ids from its end.
 
+    Ids are those of the tokenizer file without special tokens added; the string of one in a text is that token.
     A null text counts as empty and is the closing 0 alone. Only the first piece of a longer document may be shorter.
     """
 
