@@ -91,6 +91,14 @@ def test_repeats_in_repeated_rows_and_without_ids(docs):
     assert suffixes.measure(made.where("false")).collect() == []
 
 
+def test_repeats_under_shared_ids(docs):
+    """Rows that share an id, or have none, lose what they have in common with others and nothing else."""
+    texts = repeat_texts()
+    for ids in ([i // 3 for i in range(len(texts))], [None] * len(texts), [7] * len(texts)):
+        expected = sorted(zip(map(str, ids), brute_repeats(texts), strict=True))
+        assert sorted((str(r[0]), tuple(r)[1:]) for r in suffixes.measure(docs(texts, ids=ids)).collect()) == expected
+
+
 def test_fingerprint():
     for t in ["", None, "One two", "A b c D", "é À ß ſ x", "a  b\tc\nd e\u00a0f g", "w " * 3000, " \n "]:
         assert simhash.fingerprint(t) == slow_fingerprint(t)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
@@ -73,21 +73,18 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _phrases(docs: DataFrame, halves: bool) -> DataFrame:
-    """k1, k2 (128-bit hash), doc, trigger, first, last of every phrase; with halves also the keys of its two sides (or null)."""
-    names = ["k1", "k2", "doc", "trigger", "first", "last", *["before", "after"] * halves]
+    """k1, k2 (128-bit hash), doc, tag, trigger, first, last of every phrase; with halves also the keys of its two sides (or null)."""
+    names = ["k1", "k2", "doc", "tag", "trigger", "first", "last", *["before", "after"] * halves]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 1_000_000):
-                digests, places, counts, docs_, keys = [], [], [], [], ([], [])
-                for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+                digests, places, counts, keys = [], [], [], ([], [])
+                for text in b.column("text").to_pylist():
                     data = _bytes(text)
                     t, f, l = parse(data)
-                    if not len(t):
-                        continue
                     places.append((t, f, l))
                     counts.append(len(t))
-                    docs_.append(doc)
                     digest = xxhash.xxh3_128_digest
                     digests += [digest(data[x : y + LENGTH]) for x, y in zip(f.tolist(), l.tolist(), strict=True)]
                     if halves:
@@ -98,36 +95,37 @@ def _phrases(docs: DataFrame, halves: bool) -> DataFrame:
                         keys[1].extend([key(data[x : x + WINDOW + HALF], 2) - (1 << 63) if y else None for x, y in zip(at, ok[1], strict=True)])
                 k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 t, f, l = (np.concatenate([p[i] for p in places]) if places else np.zeros(0, np.int64) for i in range(3))
-                columns = [k[:, 0], k[:, 1], np.repeat(np.array(docs_, np.int64), np.array(counts, np.int64)), t.astype(np.int32), f.astype(np.int32), l.astype(np.int32)]
+                own = [np.repeat(b.column(c).to_numpy(), counts) for c in ("doc", "tag")]
+                columns = [k[:, 0], k[:, 1], *own, *[x.astype(np.int32) for x in (t, f, l)]]
                 arrays = [pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.array(x, pa.int64()) for x in keys] * halves
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "k1 long, k2 long, doc long, trigger int, first int, last int" + ", before long, after long" * halves
+    schema = "k1 long, k2 long, doc long, tag int, trigger int, first int, last int" + ", before long, after long" * halves
     return map_arrow(docs, run, schema)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, doc, start, once, context: the bytes of the strings of one side of each wanted phrase (doc, key, trigger, ...)."""
+    """key, doc, tag, start, once, context: the bytes of the strings of one side of each wanted phrase (doc, tag, trigger, ...)."""
     place = F.struct("trigger", "first", "last", "before", "after", "once")
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(place).alias("phrases"))
-    rows = docs.join(per_doc, "doc").select("doc", "text", "phrases")
+    per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(place).alias("phrases"))
+    rows = docs.join(per_doc, ["doc", "tag"]).select("doc", "tag", "text", "phrases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 1_000_000):
                 out: list[tuple] = []
-                for doc, text, phrases in zip(*[b.column(c).to_pylist() for c in ("doc", "text", "phrases")], strict=True):
+                for doc, tag, text, phrases in zip(*[b.column(c).to_pylist() for c in ("doc", "tag", "text", "phrases")], strict=True):
                     data = _bytes(text)
                     for p in phrases:
                         for a, z, first, last in _sides(p["trigger"], p["first"], p["last"]):
                             key = xxhash.xxh3_64_intdigest(data[a:z], 1 if a < p["trigger"] else 2) - (1 << 63)
                             if p["before" if a < p["trigger"] else "after"]:
-                                out.append((key, doc, first, p["once"], data[first : last + LENGTH]))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "start", "once", "context"])
+                                out.append((key, doc, tag, first, p["once"], data[first : last + LENGTH]))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "tag", "start", "once", "context"])
 
-    return map_arrow(rows, run, "key long, doc long, start int, once boolean, context binary")
+    return map_arrow(rows, run, "key long, doc long, tag int, start int, once boolean, context binary")
 
 
 def repeated_suffixes(contexts: list[bytes]) -> np.ndarray:
@@ -178,31 +176,31 @@ def repeated_suffixes(contexts: list[bytes]) -> np.ndarray:
 
 
 def _repeats(contexts: DataFrame, most: int, chunk: int = 1_000_000) -> DataFrame:
-    """(doc, a, b): runs of starts of strings that occur twice, from contexts (key, doc, start, once, context), written.
+    """(doc, tag, a, b): runs of starts of strings that occur twice, from contexts (key, doc, tag, start, once, context), written.
 
     Contexts of one key are sorted together, in chunks of whole keys. Those of a key with over `most` bytes never meet in one
     task: they are cut into their single strings, which meet by their hashes instead, counted before they are shuffled.
     """
     hot = contexts.groupBy("key").agg(F.sum(F.length("context")).alias("n")).where(F.col("n") > most).select("key")
     hot = written(hot, "hot")
-    names = ["doc", "a", "b"]
-    kinds = (pa.int64(), pa.int32(), pa.int32())
+    names = ["doc", "tag", "a", "b"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def made(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def runs(part: list[tuple]) -> pa.RecordBatch:
-        out, found, at = [], repeated_suffixes([p[4] for p in part]), 0
-        for _, doc, start, once, context in part:
+        out, found, at = [], repeated_suffixes([p[5] for p in part]), 0
+        for _, doc, tag, start, once, context in part:
             if once:
                 hit = np.flatnonzero(np.diff(found[at : at + len(context)].astype(np.int8), prepend=0, append=0))
-                out += [(doc, start + a, start + b - 1) for a, b in hit.reshape(-1, 2).tolist()]
+                out += [(doc, tag, start + a, start + b - 1) for a, b in hit.reshape(-1, 2).tolist()]
             at += len(context)
         return made(out, names, kinds)
 
     def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
-        return zip(*[b.column(c).to_pylist() for c in ("key", "doc", "start", "once", "context")], strict=True)
+        return zip(*[b.column(c).to_pylist() for c in ("key", "doc", "tag", "start", "once", "context")], strict=True)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
@@ -213,7 +211,7 @@ def _repeats(contexts: DataFrame, most: int, chunk: int = 1_000_000) -> DataFram
                     yield runs(part)
                     part, size = [], 0
                 part.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if part:
             yield runs(part)
 
@@ -221,30 +219,33 @@ def _repeats(contexts: DataFrame, most: int, chunk: int = 1_000_000) -> DataFram
         for whole in batches:
             for i in range(0, len(whole), 200):
                 out = []
-                for _, doc, start, once, context in rows_of(whole.slice(i, 200)):
+                for _, doc, tag, start, once, context in rows_of(whole.slice(i, 200)):
                     for k in range(len(context) - LENGTH + 1):
                         h = xxhash.xxh3_128_intdigest(context[k : k + LENGTH])
-                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, start + k, once))
-                yield made(out, ["h1", "h2", "doc", "a", "once"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))
+                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, tag, start + k, once))
+                yield made(out, ["h1", "h2", "doc", "tag", "a", "once"], (*[pa.int64()] * 3, *[pa.int32()] * 2, pa.bool_()))
 
     cold = contexts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    near = map_arrow(cold, together, "doc long, a int, b int")
+    near = map_arrow(cold, together, "doc long, tag int, a int, b int")
     if hot.isEmpty():
         out = written(near, "partial")
         discard(hot)
         return out
-    single = written(map_arrow(contexts.join(hot, "key", "left_semi").select(*contexts.columns), singly, "h1 long, h2 long, doc long, a int, once boolean"), "single")
+    single = written(map_arrow(contexts.join(hot, "key", "left_semi").select(*contexts.columns), singly, "h1 long, h2 long, doc long, tag int, a int, once boolean"), "single")
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    met = single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "a", F.col("a").alias("b"))
+    met = single.where("once").join(twice, ["h1", "h2"], "left_semi").select("doc", "tag", "a", F.col("a").alias("b"))
     out = written(near.unionByName(met), "partial")
     discard(hot, single)
     return out
 
 
 def covered(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
-    """(doc, spans): for each document with a repeated string, its runs of starts as arrays [from, to]. docs: doc, text."""
+    """(doc, tag, spans): for each document with a repeated string, its runs of starts as arrays [from, to].
+
+    docs: doc, tag, text. Doc and tag together tell rows apart; rows with the same of both have the same text.
+    """
     dictionary = _phrases(docs, halves=True).groupBy("k1", "k2").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "trigger", "first", "last", "before", "after")).alias("p")
+        F.count("*").alias("n"), F.min(F.struct("doc", "tag", "trigger", "first", "last", "before", "after")).alias("p")
     )
     dictionary = written(dictionary.select("k1", "k2", (F.col("n") == 1).alias("once"), "p.*"), "dictionary")
     free_shuffles(docs.sparkSession)
@@ -252,7 +253,7 @@ def covered(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     keyed = dictionary.select(side.alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     free_shuffles(docs.sparkSession)
-    phrase = ["doc", "trigger", "first", "last", "once"]
+    phrase = ["doc", "tag", "trigger", "first", "last", "once"]
     sided = dictionary.select(*phrase, F.posexplode(F.array("before", "after")).alias("side", "key")).where("key is not null")
     hit = sided.join(shared, "key", "left_semi").groupBy(*phrase)
     wanted = hit.agg(F.max(F.col("side") == 0).alias("before"), F.max(F.col("side") == 1).alias("after"))
@@ -264,8 +265,8 @@ def covered(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     discard(shared, wanted, contexts)
     free_shuffles(docs.sparkSession)
     whole = _phrases(docs, halves=False).join(dictionary.where("not once").select("k1", "k2"), ["k1", "k2"], "left_semi")
-    spans = whole.select("doc", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(partial)
-    spans = written(spans.groupBy("doc").agg(F.collect_list(F.array("a", "b")).alias("spans")), "spans")
+    spans = whole.select("doc", "tag", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(partial)
+    spans = written(spans.groupBy("doc", "tag").agg(F.collect_set(F.array("a", "b")).alias("spans")), "spans")
     discard(dictionary, partial)
     free_shuffles(docs.sparkSession)
     return spans
@@ -283,22 +284,28 @@ def removed(data: bytes, spans: list[list[int]] | None) -> list[tuple[int, int]]
     return out
 
 
+def _identity() -> tuple[Column, Column]:
+    """What tells a row apart: 96 bits of hashes of doc_id and text, so that neither equal nor missing ids join different texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text"), F.hash("text", F.col("doc_id").cast("long"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    return docs.where("text is not null").select(doc.alias("doc"), "text")
+    doc, tag = _identity()
+    return docs.where("text is not null").select(doc.alias("doc"), tag.alias("tag"), "text")
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = covered(_keyed(docs))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    return docs.drop("_spans").join(spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")), key == F.col("_doc"), "left").drop("_doc")
+    spans = covered(_keyed(docs)).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    doc, tag = _identity()
+    return docs.drop("_spans").join(spans, (doc == F.col("_doc")) & (tag == F.col("_tag")), "left").drop("_doc", "_tag")
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Null and empty texts have no bytes. Every row is a document: rows that repeat remove each other's strings as any two
-    documents do. A doc_id stands for one text; rows without an id are told apart by their texts. Other columns aren't read.
+    documents do. Rows are told apart by id and text together: what a row loses stands in it and elsewhere, whatever ids
+    are missing or equal. Other columns aren't read.
     """
     rows = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
 
