@@ -49,9 +49,10 @@ def test_variant_hashes():
 
 def test_lines_stage(docs):
     copy = "one two three four five six seven eight nine ten"
-    made = docs([copy + "\nshort", copy, "", None, copy.replace("five", "fünf")], ids=[4, 5, 6, 7, None])
+    made = docs([copy + "\nshort", copy, "", None, copy.replace("five", "fünf"), "some line that no other row has"], ids=[4, 5, 6, 7, None, None])
     rows = {r.doc_id: r for r in lines.keep_new_lines(made).collect()}
     assert sorted(rows, key=str) == [4, 6, 7, None] and rows[4].text.startswith("one") and rows[None].doc == 7
+    assert rows[None].text == "some line that no other row has"
     assert lines.keep_new_lines(made).columns == made.columns
     assert lines.keep_new_lines(made.where("false")).collect() == []
 
@@ -61,6 +62,20 @@ def test_repeated_rows_are_one_document_for_lines(docs):
     assert [r.text for r in lines.without_duplicates(docs([t, t], ids=[3, 3])).collect()] == [t, t]
 
 
+def test_lines_under_shared_ids(docs):
+    """A row never loses what it alone has, whatever rows it shares its id with."""
+    t = "one two three four five six seven"
+    texts = [t, t + "\nwords that stand in no other row", "words standing in this row only\n" + t, "null row has words of its own", t]
+    rows = lines.without_duplicates(docs(texts, ids=[1, 2, 2, None, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == sorted(
+        [("1", t), ("2", "words that stand in no other row"), ("2", "words standing in this row only"), ("None", texts[3]), ("None", "")])
+
+
+def test_line_lengths_are_parameters(docs):
+    rows = lines.without_duplicates(docs(["a b", "a b", "a c"]), min_words=1, near_words=2).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: "a b", 1: "", 2: ""}
+
+
 def repeat_texts():
     rng = np.random.default_rng(1)
     word = lambda letters, n: "".join(rng.choice(list(letters), n))

@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (operator 5).
 
-A line is its words, in lower case. Lines of at least MIN_WORDS words are compared: equal ones are duplicates, and of those
-with at least NEAR_WORDS words also those within an edit of one word. Two such lines have a variant in common: themselves with
+A line is its words, in lower case. Lines of at least MIN_WORDS (a parameter) words are compared: equal ones are duplicates, and of those
+with at least NEAR_WORDS (another) also those within an edit of one word. Two such lines have a variant in common: themselves with
 one word (or none) deleted. Variants become hashed keys; lines that share one are joined through the earliest line of each
 key, and the edit distance is verified on the words. A line is removed if an earlier one, by doc_id and line number, is a
 duplicate of it, whether that one stays or not.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ddl, slices
@@ -54,45 +54,58 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h1, h2 (the line's 128-bit hash), keys (of its halves; none if it is too short for a near duplicate)."""
+#: What tells a row apart, in the order of documents: rows without an id come last, rows with equal ids are ordered by a hash of
+#: their texts. Rows with the same id and the same text are one document.
+IDENTITY = "doc long, tag long"
+OWN = ["doc", "tag"]
+
+
+def _identity() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tag")]
+
+
+def _batch(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def hashed_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """doc, tag, line, h1, h2 (the line's 128-bit hash), keys (of its halves; none if it is too short for a near duplicate)."""
+    names = [*OWN, "line", "h1", "h2", "keys"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 out: list[tuple] = []
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    for i, line in enumerate((text or "").split("\n")):
+                for doc, tag, text in zip(*[b.column(c).to_pylist() for c in (*OWN, "text")], strict=True):
+                    for i, line in enumerate(text.split("\n")):
                         words = words_of(line)
-                        if len(words) >= MIN_WORDS:
+                        if len(words) >= min_words:
                             joined = " ".join(words)
-                            out.append((doc, i, _hash(joined), _hash(joined, 1), halves(words) if len(words) >= NEAR_WORDS else []))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "line", "h1", "h2", "keys"])
+                            out.append((doc, tag, i, _hash(joined), _hash(joined, 1), halves(words) if len(words) >= near_words else []))
+                yield _batch(out, names, kinds)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_arrow(rows, run, "doc_id long, line int, h1 long, h2 long, keys array<long>")
+    rows = docs.where("text is not null").select(*_identity(), "text")
+    return map_arrow(rows, run, f"{IDENTITY}, line int, h1 long, h2 long, keys array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, line, words for the lines in `wanted` (doc_id, line), which are few of their documents."""
-    per_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("lines"))
+    """doc, tag, line, words for the lines in `wanted` (doc, tag, line), which are few of their documents."""
+    per_doc = wanted.groupBy(OWN).agg(F.collect_set("line").alias("lines"))
     # what grows with the corpus is merged, not broadcast, at every size
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc.hint("merge"), F.col("doc_id") == F.col("_doc"))
+    rows = docs.where("text is not null").select(*_identity(), "text").join(per_doc.hint("merge"), OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 out: list[tuple] = []
-                for doc, text, lines in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "lines")], strict=True):
-                    split = (text or "").split("\n")
-                    out += [(doc, i, words_of(split[i])) for i in lines if i < len(split)]
-                columns = list(zip(*out, strict=True)) or [()] * 3
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "line", "words"])
+                for doc, tag, text, lines in zip(*[b.column(c).to_pylist() for c in (*OWN, "text", "lines")], strict=True):
+                    split = text.split("\n")
+                    out += [(doc, tag, i, words_of(split[i])) for i in lines]
+                yield _batch(out, [*OWN, "line", "words"], (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))
 
-    return map_arrow(rows.select("doc_id", "text", "lines"), run, "doc_id long, line int, words array<string>").distinct()
+    return map_arrow(rows.select(*OWN, "text", "lines"), run, f"{IDENTITY}, line int, words array<string>").distinct()
 
 
 def variant_hashes(words: list[str]) -> np.ndarray:
@@ -112,7 +125,7 @@ def variant_hashes(words: list[str]) -> np.ndarray:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """doc_id, line, key, at for each line of (doc_id, line, words): with word `at` deleted, or as it is (-1)."""
+    """doc, tag, line, key, at for each line of (doc, tag, line, words): with word `at` deleted, or as it is (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,25 +134,26 @@ def variants(lines: DataFrame) -> DataFrame:
                 keys = [variant_hashes(w) for w in b.column("words").to_pylist()]
                 sizes = [len(x) for x in keys]
                 at = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes])
-                doc, line = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc_id", "line"))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), pa.array(np.concatenate(keys)), pa.array(at)], ["doc_id", "line", "key", "at"])
+                own = [pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in (*OWN, "line")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(keys)), pa.array(at)], [*OWN, "line", "key", "at"])
 
-    return map_arrow(lines, run, "doc_id long, line int, key long, at int")
+    return map_arrow(lines, run, f"{IDENTITY}, line int, key long, at int")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line to remove, each once, written."""
-    place = F.struct("doc_id", "line")
-    hashed = written(hashed_lines(docs), "lines")
+def duplicates(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(doc, tag, line) of every line to remove, each once, written."""
+    spot = [*OWN, "line"]
+    place = F.struct(*spot)
+    hashed = written(hashed_lines(docs, min_words, near_words), "lines")
     first = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
     first = written(first, "first")
-    own = hashed.select("h1", "h2", "doc_id", "line").join(first.select("h1", "h2", "first"), ["h1", "h2"])
-    exact = written(own.where(F.col("first") != place).select("doc_id", "line"), "exact")
+    own = hashed.select("h1", "h2", *spot).join(first.select("h1", "h2", "first"), ["h1", "h2"])
+    exact = written(own.where(F.col("first") != place).select(*spot), "exact")
     free_shuffles(docs.sparkSession)
 
-    keyed = first.where(F.size("keys") > 0).select("first.doc_id", "first.line", F.explode("keys").alias("key"))
+    keyed = first.where(F.size("keys") > 0).select("first.*", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    candidates = written(keyed.join(shared, "key", "left_semi").select("doc_id", "line").distinct(), "candidates")
+    candidates = written(keyed.join(shared, "key", "left_semi").select(*spot).distinct(), "candidates")
     free_shuffles(docs.sparkSession)
     words = written(_texts(docs, candidates), "words")
     free_shuffles(docs.sparkSession)
@@ -152,35 +166,40 @@ def duplicates(docs: DataFrame) -> DataFrame:
     met = deleted.select("key", place.alias("long")).join(as_is, "key")
     more = met.select(F.greatest("long", "full").alias("late"), F.least("long", "full").alias("witness"))
     pairs = same.unionByName(more).where("witness < late").distinct()
-    text = lambda side: words.select(F.struct("doc_id", "line").alias(side), F.col("words").alias(f"{side}_words"))
+    text = lambda side: words.select(place.alias(side), F.col("words").alias(f"{side}_words"))
     both = pairs.join(text("late"), "late").join(text("witness"), "witness")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, w = b.column("late_words").to_pylist(), b.column("witness_words").to_pylist()
             ok = [within_one(x, y) for x, y in zip(a, w, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(ok)), b.column("line").filter(pa.array(ok))], ["doc_id", "line"])
+            yield b.select(spot).filter(pa.array(ok, pa.bool_()))
 
-    near = map_arrow(both.select("late.doc_id", "late.line", "late_words", "witness_words"), verified, "doc_id long, line int")
+    near = map_arrow(both.select("late.*", "late_words", "witness_words"), verified, f"{IDENTITY}, line int")
     out = written(exact.unionByName(near).distinct(), "duplicates")
     discard(hashed, first, exact, candidates, words, made)
     return out
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
+def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """`docs` with text without its duplicate lines, n_lines (before) and removed_lines (array<int>, numbers from 0).
 
-    Lines are split at \\n and joined again; short lines, documents without doc_id and null texts (which have no line) stay
-    as they are. Rows with one doc_id count as one document whose rows are treated alike. An empty table gives an empty
-    result; columns named n_lines or removed_lines are replaced, others stay.
+    Lines are split at \\n and joined again. Lines under `min_words` words stay (headings, list marks and the like, which
+    repeat by nature); those from there on go if equal to an earlier one, from `near_words` on also if within an edit of one
+    word. Null texts have no line. Documents are in order of doc_id, those without one last; rows with one id and different
+    texts are documents of their own, in order of a hash of the text; rows with one id and the same text are treated alike.
+    An empty table gives an empty result; columns named n_lines or removed_lines are replaced, others stay.
     """
-    found = duplicates(docs)
-    gone = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    found = duplicates(docs, min_words, near_words)
+    own = [F.col("doc").alias("_doc"), F.col("tag").alias("_tag")]
+    gone = found.groupBy(*own).agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
     gone = written(gone, "gone")
     discard(found)
     free_shuffles(docs.sparkSession)
     kept = docs.drop("removed_lines", "n_lines")
-    joined = packed(kept, "doc_id", "text").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    doc, tag = _identity()
+    mine = (doc == F.col("_doc")) & (tag == F.col("_tag"))
+    joined = packed(kept, "doc_id", "text").join(gone.hint("merge"), mine, "left").drop("_doc", "_tag")
     text = joined.schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
