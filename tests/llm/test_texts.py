@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 from vaultline.llm import html, language
@@ -75,21 +76,101 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in html.extract(pages).collect()} == {"Title & 1\nFirst para 1\nSecond 1 line\nShare this page"}
 
 
+SCHEMA = "page_id long, url string, html string"
+
+
+def test_alignment_finds_what_has_no_telling_name(spark):
+    """Menus, notices and adverts in plain divs go because they are the same, or links, on the host's pages."""
+    say = lambda i, k: f"Text {k} of page {i} goes on about matter {i * 31 + k}."
+    links = lambda i: "".join(f"<a href='/{i}{k}'>word{i}{k}</a> " for k in range(4))
+    source = "<html><body><div class='x1'>{m}</div><div class='x2'>Our great offer</div><div class='x3'>{t}</div><div class='x4'>All rights belong to us</div></body></html>"
+    article = lambda i: f"<h1>Head {i}</h1>" + "".join(f"<p>{say(i, k)}</p>" for k in range(2 + i % 4))
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", source.format(m=links(i), t=article(i))) for i in range(12)], SCHEMA)
+    want = {i: "\n".join([f"Head {i}", *[say(i, k) for k in range(2 + i % 4)]]) for i in range(12)}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    off = {r.page_id: r.text for r in html.extract(pages, alignment=False).collect()}
+    assert all(off[i] == "Our great offer\n" + want[i] + "\nAll rights belong to us" for i in range(12))
+
+
+def test_layouts_have_references_of_their_own(spark):
+    notice = "<div>We are closed today</div>"
+    source = "<html><body>{n}<p>Body of {i}, no other page has it</p><section>About us</section></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", source.format(i=i, n=notice if i % 2 else "")) for i in range(12)], SCHEMA)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {i: f"Body of {i}, no other page has it" for i in range(12)}
+
+
+def test_names_are_a_weak_prior(spark):
+    inside = "<article><h2 id='notice'>Notice {i}</h2><div class='related-work'>Related work is discussed here, {i}.</div><div class='no-sidebar'>One {i}</div><div class='ad'>Buy {i}</div></article>"
+    around = "<div class='sidebar'><h1>Title {i}</h1><p>All of the text, {i}, is in a box of that name.</p></div>"
+    shell = "<main><p>{i}</p></main><div><p>The story number {i} is long and stands outside of a main element that holds a number.</p></div>"
+    rows = [(100 * k + i, f"http://h{k}.org/{i}", f"<body>{t.format(i=i)}</body>") for k, t in enumerate((inside, around, shell)) for i in range(5)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(5):
+        assert got[i] == f"Notice {i}\nRelated work is discussed here, {i}.\nOne {i}"
+        assert got[100 + i] == f"Title {i}\nAll of the text, {i}, is in a box of that name."
+        assert got[200 + i] == f"{i}\nThe story number {i} is long and stands outside of a main element that holds a number."
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "down here {i}" + "</div>" * 5000
+    wide = "<table>" + "<tr><td>a {i}<td>b</tr>" * 3000 + "</table>" + "<p>w {i}</p>" * 3000
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", t.format(i=i)) for k, t in enumerate((deep, wide)) for i in range(4)]
+    rows += [(30, "http://h0.org/", "<div>" * 600 + "x" + "</div>" * 600), (31, "http://h1.org/", "<p>w y</p>" * 20_000 + "<table><tr><td>z</table>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(4):
+        assert got[i] == f"down here {i}" and got[10 + i].count(f"w {i}") == 3000 and got[10 + i].count(f"a {i}") == 3000
+    assert got[30] == "x" and got[31].count("w y") == 20_000
+
+
+def slow_match(a, b):
+    """The number of nodes that simple tree matching pairs in trees (tag, children...)."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * len(b) for _ in a]
+    for i in range(1, len(a)):
+        for j in range(1, len(b)):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + slow_match(a[i], b[j]))
+    return 1 + m[-1][-1]
+
+
 def test_simple_tree_matching():
-    tree = lambda *kids: html._tree([-1, *[0] * len(kids)], ["body", *kids])
-    a, b = tree("h1", "p", "div", "p"), tree("h1", "div", "p", "p")
-    pairs = html.align(a, b)
-    assert len(pairs) == 5 and all(a[1][i] == b[1][j] for i, j in pairs.items())
-    assert len(html.align(tree(*["p"] * 30), tree(*["p"] * 50), most=100)) == 32  # in order, beyond the bound
+    rng = np.random.default_rng(11)
+
+    def tree(depth):
+        kids = [] if depth == 0 else [tree(depth - 1) for _ in range(int(rng.integers(0, 6)))]
+        return (str(rng.choice(list("abc"))), *kids)
+
+    def flat(t, parent, parents, tags):
+        parents.append(parent)
+        tags.append(t[0])
+        me = len(tags) - 1
+        for k in t[1:]:
+            flat(k, me, parents, tags)
+        return parents, tags
+
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        forest = html.Forest()
+        flats = [flat(t, -1, [], []) for t in (a, b)]
+        pairs = forest.align(*[forest.add(*f) for f in flats])
+        assert len(pairs) - 1 == slow_match(a, b)
+        (pa_, ta), (pb, tb) = flats
+        for i, j in pairs.items():
+            assert not i or (ta[i - 1] == tb[j - 1] and pairs[pa_[i - 1] + 1] == pb[j - 1] + 1)
+        order = sorted(pairs.items())
+        assert [j for _, j in order] == sorted(j for _, j in order)  # siblings stay in order
+    a, b = [int(x) for x in rng.integers(0, 2, 300)], [int(x) for x in rng.integers(0, 2, 200)]
+    made = [("t", *[("x", ("y",), ("z",)) if v else ("p",) for v in side]) for side in (a, b)]
+    forest = html.Forest()
+    assert len(forest.align(*[forest.add(*flat(t, -1, [], [])) for t in made])) - 1 == slow_match(*made)
 
 
 @pytest.mark.parametrize("source", ["<" * 3000, "<div>" * 3000, "<p>" * 3000, '<a b="' * 500, "<!-- x", "<script>x", "&#x110000; &#0; &bogus;", "</div></p><li><td>x"])
 def test_broken_html(source):
-    assert isinstance(html.Page(source).content(), list)
+    assert isinstance(html.Page(source).blocks, list)
 
 
 def test_pipeline(spark, tmp_path):
-    import numpy as np
 
     import corpus_pipeline
 
@@ -117,7 +198,6 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
-    import numpy as np
     from brute import brute_covered, brute_groups, brute_lines
 
     import corpus_pipeline

@@ -1,19 +1,26 @@
 """Main text of web pages by wrapper induction (operator 4).
 
-One page of each host is its reference. Every page's DOM tree is aligned with its host's reference by simple tree matching:
-roots match if their tags agree, and their children in order, so that the number of matched nodes is the largest. Over all
-distinct pages of a host, a reference node whose text is the same on nearly all pages that have it is constant, and becomes
-template; nodes whose text varies are slots. A page's text is that of its slots and of nodes without a partner, less what
-markup names as something else than the article: slots of menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments vary as well, and no alignment can tell them from content.
+Pages of a host are grouped by layout, the tags of the page's first levels. The page of a layout with the fewest nodes is its
+reference; every page's DOM tree is aligned with it by simple tree matching: roots match if their tags agree, and their
+children in order, so that the number of matched nodes is the largest. A reference node whose text is the same on nearly all
+pages is constant and becomes template; one whose text is mostly links on most pages is a menu; all others are slots, and a
+page's text is that of its slots and of nodes without a partner.
+
+Elements that HTML defines as something else than the article (nav, footer, aside, forms, scripts) never count. Names in class
+and id, and being outside of article or main, are priors: advert slots and reader comments vary from page to page as content
+does. What the aligned pages of a layout say overrules them: names that would take all of the text that varies, and a main
+element that holds next to none of it, are not believed.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +41,18 @@ BLOCKS = _set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 )
-#: Elements that never hold article text, and words of class, id and role that say so of any element.
+#: Elements and roles that never hold article text.
 OTHER = _set("aside button datalist dialog footer form head input label link meta nav noscript object option select svg template textarea")
+ROLES = _set("navigation menu menubar banner contentinfo complementary search dialog alertdialog form")
+#: Names that say so of any element if all words of a class or id are among them or neutral: `comment-list`, but not `related-work`.
 NAMED = _set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "pagination pager notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar aside widget related recommended share sharing social comment comments disqus replies respond discussion footer copyright "
-    "contentinfo complementary search dialog"
+    "pagination pager notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login "
+    "sidebar aside related recommended share sharing social comment comments disqus replies respond footer copyright"
 )
+NEUTRAL = _set("site page main top bottom left right box container wrapper wrap list item items block section area bar global primary secondary inner outer panel group zone slot widget module")
+#: Their ids name places in the text.
+TEXTUAL = _set("h1 h2 h3 h4 h5 h6 p blockquote figure li pre dt dd")
 #: Tags that a start tag closes when they are open and no element of the second set is in between.
 CLOSED_BY = {
     **dict.fromkeys(_set("li"), (_set("li"), _set("ul ol menu"))),
@@ -54,23 +65,23 @@ SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """Block elements of a page in document order (parent, tag), and its blocks of text: (node, text, boilerplate, main, linked)."""
+    """Block elements of a page in document order (parent, tag), and its blocks of text: (node, text, other, named, main, linked).
+
+    Other: in an element that is no article by definition; named: by a class or id; main: inside article or main; linked: mostly links.
+    """
 
     def __init__(self, source: str) -> None:
         self.parents, self.tags, self.blocks = [], [], []
         self._read(source)
-        self.kids: list[list[int]] = [[] for _ in self.tags]
-        for i, p in enumerate(self.parents):
-            if p >= 0:
-                self.kids[p].append(i)
         own: dict[int, list[str]] = {}
         for node, text, *_ in self.blocks:
             own.setdefault(node, []).append(text)
         self.hashes = [xxhash.xxh64_intdigest("\n".join(own[i])) >> 1 if i in own else 0 for i in range(len(self.tags))]
 
     def _read(self, source: str) -> None:
-        # the stack of open elements: tag, node of the block around, boilerplate, main, in a link
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", -1, False, False, False)]
+        # the stack of open elements: tag, node of the block around, other, named, main, in a link; and how many of each tag are open
+        stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", -1, False, False, False, False)]
+        opened: Counter[str] = Counter()
         pieces: list[str] = []
         linked = 0
 
@@ -79,11 +90,14 @@ class Page:
             if pieces:
                 text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
                 if text:
-                    _, node, other, main, _ = around
-                    self.blocks.append((node, text, other, main, 2 * linked > len(text)))
+                    self.blocks.append((around[1], text, *around[2:5], 2 * linked > len(text)))
             pieces.clear()
             linked = 0
 
+        def leave(k: int) -> None:
+            opened.subtract(x[0] for x in stack[k:])
+            del stack[k:]
+
         around, at, size = stack[0], 0, len(source)
         while at < size:
             m = TOKEN.search(source, at)
@@ -92,7 +106,7 @@ class Page:
                 break
             if m.start() > at:
                 pieces.append(source[at : m.start()])
-                if stack[-1][4]:
+                if stack[-1][5]:
                     linked += m.start() - at
             at = m.end()
             close, tag, attributes, end = m.groups()
@@ -102,39 +116,39 @@ class Page:
                 at = source.find(">", at) + 1 or size
             tag = tag.lower()
             if close:
+                if not opened[tag]:
+                    continue
                 k = len(stack) - 1
-                while k > 0 and stack[k][0] != tag:
+                while stack[k][0] != tag:
                     k -= 1
-                if not k:
-                    continue
-                if any(x[0] in BLOCKS for x in stack[k:]) or stack[k][2] != stack[k - 1][2]:
-                    around = (*around[:2], stack[-1][2], stack[-1][3], False)
+                if any(x[0] in BLOCKS for x in stack[k:]) or stack[k][2:4] != stack[k - 1][2:4]:
+                    around = (*around[:2], *stack[-1][2:5], False)
                     flush()
-                del stack[k:]
+                leave(k)
                 around = stack[-1]
                 continue
             if tag == "br":
                 pieces.append(" ")
                 continue
-            words, hidden = self._names(attributes) if attributes else ((), False)
-            _, node, other, main, link = stack[-1]
+            _, node, other, named, main, link = stack[-1]
             block = tag in BLOCKS
             if block and tag in CLOSED_BY:
                 tags, limit = CLOSED_BY[tag]
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in tags and stack[k][0] not in limit:
-                    k -= 1
-                if k > 0 and stack[k][0] in tags:
-                    around = (*around[:2], stack[-1][2], stack[-1][3], False)
-                    flush()
-                    del stack[k:]
-                    around = stack[-1]
-                    _, node, other, main, link = stack[-1]
-            named = tag not in ("html", "body", "article", "main") and any(w in NAMED or (w == "header" and not main) for w in words)
-            named |= tag == "article" and any(w in ("comment", "comments") for w in words)
-            mine = other or hidden or named or tag in OTHER or (tag == "header" and not main)
-            if block or mine != other:
-                around = (*around[:2], stack[-1][2], stack[-1][3], False)
+                if any(opened[t] for t in tags):
+                    k = len(stack) - 1
+                    while k > 0 and stack[k][0] not in tags and stack[k][0] not in limit:
+                        k -= 1
+                    if k > 0 and stack[k][0] in tags:
+                        around = (*around[:2], *stack[-1][2:5], False)
+                        flush()
+                        leave(k)
+                        around = stack[-1]
+                        _, node, other, named, main, link = stack[-1]
+            called, role, hidden = self._names(tag, attributes, main) if attributes else (False, "", False)
+            never = other or hidden or tag in OTHER or role in ROLES or (tag == "header" and not main)
+            called |= named
+            if block or never != other or called != named:
+                around = (*around[:2], *stack[-1][2:5], False)
                 flush()
             if tag in RAW:
                 found = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
@@ -146,166 +160,308 @@ class Page:
                 self.parents.append(node)
                 self.tags.append(tag)
                 node = len(self.tags) - 1
-            stack.append((tag, node, mine, main or tag in ("article", "main") or "main" in words, link or tag == "a"))
+            stack.append((tag, node, never, called, main or tag in ("article", "main") or role == "main", link or tag == "a"))
+            opened[tag] += 1
             around = stack[-1]
         around = stack[-1]
         flush()
 
     @staticmethod
-    def _names(attributes: str) -> tuple[list[str], bool]:
-        words, hidden = [], False
+    def _names(tag: str, attributes: str, main: bool) -> tuple[bool, str, bool]:
+        """Whether class or id name something else than the article; the role; whether the element is hidden."""
+        called, role, hidden = False, "", False
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id", "role"):
-                words += re.split(r"[^a-z0-9]+", value)
+            if name == "role":
+                role = value.strip()
+            elif name == "class" or (name == "id" and tag not in TEXTUAL):
+                for token in value.split():
+                    words = [w for w in re.split(r"[^a-z]+", token) if w]
+                    if tag == "article":
+                        called |= token in ("comment", "comments")
+                    elif tag not in ("html", "body", "main"):
+                        called |= any(w in NAMED for w in words) and all(w in NAMED or w in NEUTRAL for w in words) or (token == "header" and not main)
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "")
-            else:
+            elif name != "class" and name != "id":
                 hidden |= name == "hidden" or value == "true"
-        return words, hidden
-
-    def content(self) -> list[tuple[int, str]]:
-        """(node, text) of blocks that may be article text: inside an article or main element, if the page has any text there."""
-        rest = [b for b in self.blocks if not b[2]]
-        inside = [b for b in rest if b[3]]
-        return [(b[0], b[1]) for b in (inside or [b for b in rest if not b[4]])]
-
-
-def align(a: tuple[list[list[int]], list[str]], b: tuple[list[list[int]], list[str]], most: int = 200_000) -> dict[int, int]:
-    """Simple tree matching of two trees (children of each node, tags), both rooted at 0: matched nodes of a and their partners.
+        return called, role, hidden
+
+    def layout(self, depth: int = 2) -> int:
+        """A hash of the tags of the first levels (html and the children of body), equal neighbours as one."""
+        level, seen = [], []
+        for p, t in zip(self.parents, self.tags, strict=True):
+            level.append(level[p] + 1 if p >= 0 else 1)
+            if level[-1] <= depth + 1 and t not in ("head", "html", "body") and (not seen or seen[-1] != (level[-1], t)):
+                seen.append((level[-1], t))
+        return xxhash.xxh64_intdigest(repr(seen)) >> 1
+
+
+class Forest:
+    """Simple tree matching of trees whose equal subtrees are one shape, so that no pair of shapes is weighed twice."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.tag, self.kids, self.size = [], [], []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def add(self, parents: list[int], tags: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Children and shape of each node under a root of our own, 0, so that any two pages have one; node i becomes i + 1."""
+        kids: list[list[int]] = [[] for _ in range(len(tags) + 1)]
+        for i, p in enumerate(parents):
+            kids[p + 1].append(i + 1)
+        shapes = [0] * len(kids)
+        for i in range(len(kids) - 1, -1, -1):  # children come after their parents
+            key = (tags[i - 1] if i else "", *[shapes[k] for k in kids[i]])
+            if key not in self.known:
+                self.known[key] = len(self.tag)
+                self.tag.append(key[0])
+                self.kids.append(key[1:])
+                self.size.append(1 + sum(self.size[k] for k in key[1:]))
+            shapes[i] = self.known[key]
+        return kids, shapes
+
+    def _simple(self, x: int, y: int) -> int | None:
+        """The weight of two shapes, if it shows at once."""
+        if x == y:
+            return self.size[x]
+        if self.tag[x] != self.tag[y]:
+            return 0
+        return 1 if not self.kids[x] or not self.kids[y] else self.memo.get((x, y))
+
+    def weight(self, x: int, y: int) -> int:
+        """The most nodes that a matching of two shapes has."""
+        if (w := self._simple(x, y)) is not None:
+            return w
+        stack = [(x, y)]
+        while stack:
+            i, j = stack[-1]
+            if (i, j) in self.memo:
+                stack.pop()
+                continue
+            a, b, same = self.trimmed(self.kids[i], self.kids[j])
+            if open_ := [(p, q) for p in set(a) for q in set(b) if self._simple(p, q) is None]:
+                stack += open_
+                continue
+            rest = 0
+            for row in self._rows(a, b):
+                rest = int(row[-1])
+            self.memo[i, j] = 1 + sum(self.size[k] for k in same) + rest
+            stack.pop()
+        return self.memo[x, y]
 
-    Children lists of over `most` pairs are matched by the tag in order instead, which takes time in proportion to their length.
-    """
-    (ka, ta), (kb, tb) = a, b
-    memo: dict[tuple[int, int], int] = {}
-
-    def table_of(i: int, j: int) -> list[list[int]]:
-        m = [[0] * (len(kb[j]) + 1)]
-        for x in ka[i]:
-            above, row = m[-1], [0]
-            for k, y in enumerate(kb[j]):
-                best = above[k + 1] if above[k + 1] >= row[k] else row[k]
-                if ta[x] == tb[y]:
-                    w = above[k] + (1 if not ka[x] or not kb[y] else weight(x, y))
-                    best = w if w > best else best
-                row.append(best)
-            m.append(row)
-        return m
-
-    def weight(i: int, j: int) -> int:
-        if (i, j) not in memo:
-            memo[i, j] = 1 + (table_of(i, j)[-1][-1] if len(ka[i]) * len(kb[j]) <= most else min(len(ka[i]), len(kb[j])))
-        return memo[i, j]
-
-    pairs: dict[int, int] = {}
-    todo = [(0, 0)] if ta and tb and ta[0] == tb[0] else []
-    while todo:
-        i, j = todo.pop()
-        pairs[i] = j
-        if not ka[i] or not kb[j]:
-            continue
-        if len(ka[i]) * len(kb[j]) > most:
-            rest = iter(kb[j])
-            for x in ka[i]:
-                y = next((y for y in rest if tb[y] == ta[x]), None)
-                if y is None:
-                    break
-                todo.append((x, y))
-            continue
-        m, x, y = table_of(i, j), len(ka[i]), len(kb[j])
+    @staticmethod
+    def trimmed(a, b) -> tuple:
+        """Two lists of shapes without what they have in common at the start and at the end: some best matching joins it."""
+        n, head, tail = min(len(a), len(b)), 0, 0
+        while head < n and a[head] == b[head]:
+            head += 1
+        while tail < n - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+            tail += 1
+        return a[head : len(a) - tail], b[head : len(b) - tail], (*a[:head], *a[len(a) - tail :])
+
+    def _rows(self, a, b, row: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Rows of the table of best weights of a's first shapes with b's first shapes."""
+        if not len(a) or not len(b):
+            return
+        names, at = np.unique(np.array(b), return_inverse=True)
+        row = np.zeros(len(b) + 1, np.int64) if row is None else row
+        last = None
+        for x in a:
+            if x != last:
+                last, w = x, np.array([self.weight(x, y) for y in names.tolist()], np.int64)[at]
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(np.where(w > 0, row[:-1] + w, 0), row[1:]), out=new[1:])
+            yield new
+            row = new
+
+    def _matched(self, a, b) -> Iterator[tuple[int, int]]:
+        """Places in a and b that a best matching joins. Every so many rows are kept and those between are made again, which
+        takes memory in proportion to the root of a table's size."""
+        if not len(a) or not len(b):
+            return
+        step = isqrt(len(a)) + 1
+        kept = [np.zeros(len(b) + 1, np.int64)]
+        for i, row in enumerate(self._rows(a, b), 1):
+            if i % step == 0:
+                kept.append(row)
+        x, y = len(a), len(b)
         while x and y:
-            if m[x][y] == m[x - 1][y]:
-                x -= 1
-            elif m[x][y] == m[x][y - 1]:
-                y -= 1
-            else:
-                x, y = x - 1, y - 1
-                todo.append((ka[i][x], kb[j][y]))
-    return pairs
-
-
-def _tree(parents: list[int], tags: list[str]) -> tuple[list[list[int]], list[str]]:
-    """Children and tags under a root of our own, so that any two pages have one."""
-    kids: list[list[int]] = [[] for _ in range(len(tags) + 1)]
-    for i, p in enumerate(parents):
-        kids[p + 1].append(i + 1)
-    return kids, ["", *tags]
-
-
-def _column(rows: list, kind) -> pa.Array:
-    return pa.array(rows, kind)
+            base = (x - 1) // step
+            block = [kept[base], *self._rows(a[base * step : x], b, kept[base])]
+            while y and x > base * step:
+                k = x - base * step
+                if block[k][y] == block[k - 1][y]:
+                    x -= 1
+                elif block[k][y] == block[k][y - 1]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    yield x, y
+
+    def align(self, a: tuple[list[list[int]], list[int]], b: tuple[list[list[int]], list[int]]) -> dict[int, int]:
+        """Matched nodes of tree a and their partners in tree b, as add() gives both."""
+        (ka, sa), (kb, sb) = a, b
+        pairs: dict[int, int] = {}
+        todo = [(0, 0)]
+        while todo:
+            i, j = todo.pop()
+            pairs[i] = j
+            x, y = ka[i], kb[j]
+            if not x or not y:
+                continue
+            p, q = [sa[k] for k in x], [sb[k] for k in y]
+            rest, other, same = self.trimmed(p, q)
+            head = next((k for k in range(min(len(p), len(q))) if p[k] != q[k]), min(len(p), len(q)))
+            todo += zip(x[:head], y[:head], strict=True)
+            if tail := len(same) - head:
+                todo += zip(x[-tail:], y[-tail:], strict=True)
+            todo += [(x[head + u], y[head + v]) for u, v in self._matched(rest, other)]
+        return pairs
 
 
-REFERENCE = "parents array<int>, tags array<string>, hashes array<long>"
-ALIGNED = "page_id long, url string, host string, digest long, blocks array<struct<node:int,same:boolean,text:string>>"
+TREE = "parents array<int>, tags array<string>, hashes array<long>"
+BLOCK = "array<struct<node:int,other:boolean,named:boolean,main:boolean,linked:boolean,size:int>>"
+LISTS = {"parents": pa.list_(pa.int32()), "tags": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()), "texts": pa.list_(pa.string())}
+META = pa.list_(pa.struct([("node", pa.int32()), *[(c, pa.bool_()) for c in ("other", "named", "main", "linked")], ("size", pa.int32())]))
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """host and the tree of its reference page, the first by a hash of its id among those with html."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, layout, digest, the tree and the blocks of text of every row of pages."""
     host, _ = host_and_path(F.col("url"))
-    rows = pages.where("html is not null and page_id is not null").select(host.alias("host"), F.col("page_id").cast("long"))
-    pick = rows.groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id")).alias("p"))
-    pick = written(pick.select("p.page_id"), "picked")
-    own = pages.where("html is not null").select(F.col("page_id").cast("long"), host.alias("host"), "html").join(pick, "page_id", "left_semi")
+    rows = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [Page(t) for t in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column("host"), _column([p.parents for p in found], pa.list_(pa.int32())),
-                _column([p.tags for p in found], pa.list_(pa.string())), _column([p.hashes for p in found], pa.list_(pa.int64())),
-            ], ["host", "parents", "tags", "hashes"])
-
-    trees = map_arrow(own.select("host", "html"), run, f"host string, {REFERENCE}")
-    return trees.groupBy("host").agg(F.min(F.struct("parents", "tags", "hashes")).alias("t")).select("host", "t.*")
-
-
-def aligned(pages: DataFrame, trees: DataFrame) -> DataFrame:
-    """Pages with the blocks that may be content, each with its partner in the host's reference (-1 if none) and whether texts agree."""
-    host, _ = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).join(trees, "host", "left")
-    rows = rows.select("page_id", "url", "host", "html", "parents", "tags", "hashes")
-    block = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
+        for whole in batches:
+            for b in slices(whole, "html"):
+                sources = b.column("html").to_pylist()
+                found = [Page(t) for t in sources]
+                blocks = [[(n, *flags, len(t)) for n, t, *flags in p.blocks] for p in found]
+                names = [f.name for f in META.value_type]
+                arrays = [
+                    *b.columns[:3], pa.array([p.layout() for p in found], pa.int64()), pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in sources], pa.int64()),
+                    *[pa.array([getattr(p, c) for p in found], LISTS[c]) for c in ("parents", "tags", "hashes")],
+                    pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in blocks], META),
+                    pa.array([[x[1] for x in p.blocks] for p in found], LISTS["texts"]),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "layout", "digest", "parents", "tags", "hashes", "blocks", "texts"])
+
+    return map_arrow(rows, run, f"page_id long, url string, host string, layout long, digest long, {TREE}, blocks {BLOCK}, texts array<string>")
+
+
+def references(found: DataFrame) -> DataFrame:
+    """host, layout and the tree of the reference page: that with the fewest nodes, so that no page meets a larger tree than its own."""
+    rows = found.where("host <> '' and size(blocks) > 0").withColumn("n", F.size("tags"))
+    pick = rows.groupBy("host", "layout").agg(F.min(F.struct("n", "digest")).alias("p")).select("host", "layout", "p.*")
+    own = rows.join(pick, ["host", "layout", "n", "digest"], "left_semi")
+    best = own.groupBy("host", "layout").agg(F.min(F.struct("parents", "tags", "hashes")).alias("p"))
+    return best.select("host", "layout", *[F.col(f"p.{c}").alias(f"r_{c}") for c in ("parents", "tags", "hashes")])
+
+
+def _partners(b: pa.RecordBatch) -> list[list[tuple[int, bool]]]:
+    """For each page's blocks: the node's partner in the reference (-1 if none), and whether both have the same text."""
+    forest, trees, out = Forest(), {}, []
+    columns = [b.column(c).to_pylist() for c in ("host", "layout", "parents", "tags", "hashes", "blocks", "r_parents", "r_tags", "r_hashes")]
+    for host, layout, parents, tags, hashes, blocks, r_parents, r_tags, r_hashes in zip(*columns, strict=True):
+        if r_tags is None:
+            out.append([(-1, False)] * len(blocks))
+            continue
+        if (host, layout) not in trees:
+            trees[host, layout] = forest.add(r_parents, r_tags)
+        pairs = forest.align(forest.add(parents, tags), trees[host, layout])
+        row = []
+        for x in blocks:
+            k = pairs.get(x["node"] + 1, 0) - 1
+            row.append((k, k >= 0 and hashes[x["node"]] == r_hashes[k]))
+        out.append(row)
+    return out
+
+
+def slots(found: DataFrame, trees: DataFrame) -> DataFrame:
+    """host, layout, digest, slots (node, same, linked) of each page's blocks that may be content, and its letters that vary: in all,
+    without names, and in main without names."""
+    rows = found.where("host <> '' and size(blocks) > 0").drop("texts", "page_id", "url").join(trees, ["host", "layout"])
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("linked", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "html"):
-                out, digests = [], []
-                for html, *tree in zip(*[b.column(c).to_pylist() for c in ("html", "parents", "tags", "hashes")], strict=True):
-                    page = Page(html)
-                    digests.append(xxhash.xxh64_intdigest(html) >> 1)
-                    parents, tags, hashes = tree
-                    pairs = align(_tree(page.parents, page.tags), _tree(parents, tags)) if tags is not None else {}
-                    blocks = []
-                    for node, text in page.content():
-                        k = pairs.get(node + 1, 0) - 1
-                        blocks.append({"node": k, "same": k >= 0 and page.hashes[node] == hashes[k], "text": text})
-                    out.append(blocks)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(digests, pa.int64()), _column(out, block)], ["page_id", "url", "host", "digest", "blocks"])
-
-    return map_arrow(rows, run, ALIGNED)
-
-
-def extract(pages: DataFrame, share: float = 0.9, least: int = 8) -> DataFrame:
+            for i in range(0, len(whole), 200):
+                b = whole.slice(i, 200)
+                out, sums = [], []
+                for blocks, partners in zip(b.column("blocks").to_pylist(), _partners(b), strict=True):
+                    rest = [(x, k, same) for x, (k, same) in zip(blocks, partners, strict=True) if not x["other"]]
+                    out.append([{"node": k, "same": same, "linked": x["linked"]} for x, k, same in rest if k >= 0])
+                    free = [x for x, _, same in rest if not same and not x["linked"]]
+                    plain = [x for x in free if not x["named"]]
+                    sums.append([sum(x["size"] for x in y) for y in (free, plain, [x for x in plain if x["main"]])])
+                own = [b.column(c) for c in ("host", "layout", "digest")]
+                counts = [pa.array([s[k] for s in sums], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(out, kind), *counts], ["host", "layout", "digest", "slots", "free", "plain", "inside"])
+
+    columns = ["host", "layout", "digest", "parents", "tags", "hashes", "blocks", "r_parents", "r_tags", "r_hashes"]
+    schema = "host string, layout long, digest long, slots array<struct<node:int,same:boolean,linked:boolean>>, free long, plain long, inside long"
+    return map_arrow(rows.select(*columns), run, schema)
+
+
+def wrappers(found: DataFrame, share: float, least: int, few: int) -> DataFrame:
+    """host, layout, the reference's tree, its template and menu nodes, and whether names and main are to be believed."""
+    trees = written(references(found), "references")
+    pages = written(slots(found, trees).dropDuplicates(["host", "layout", "digest"]), "slots")
+    nodes = pages.select("host", "layout", F.explode("slots").alias("b")).select("host", "layout", "b.*").groupBy("host", "layout", "node")
+    counts = nodes.agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("k"), F.sum(F.col("linked").cast("long")).alias("l"))
+    constant = ((F.col("n") >= least) & (F.col("k") >= share * F.col("n"))) | ((F.col("n") >= few) & (F.col("k") == F.col("n")))
+    menu = (F.col("n") >= few) & (2 * F.col("l") > F.col("n"))
+    listed = counts.groupBy("host", "layout").agg(
+        F.collect_list(F.when(constant, F.col("node"))).alias("template"), F.collect_list(F.when(menu, F.col("node"))).alias("menus"),
+        F.collect_list(F.when((F.col("n") >= few) & ~menu, F.col("node"))).alias("prose"))
+    sums = pages.groupBy("host", "layout").agg(*[F.sum(c).alias(c) for c in ("free", "plain", "inside")])
+    believed = sums.select("host", "layout", (50 * F.col("plain") >= F.col("free")).alias("names"), (10 * F.col("inside") >= F.col("plain")).alias("main"))
+    out = written(trees.join(listed, ["host", "layout"], "left").join(believed, ["host", "layout"], "left"), "wrappers")
+    discard(trees, pages)
+    return out
+
+
+def _content(blocks: list[dict], texts: list[str], partners: list[tuple[int, bool]], wrapper: tuple) -> str:
+    """The page's text, given what its layout's pages say (template, menus, prose: reference nodes; names, main: believed or not)."""
+    template, menus, prose, names, main = wrapper
+    rest = [(x, t, k, same) for x, t, (k, same) in zip(blocks, texts, partners, strict=True) if not x["other"]]
+    plain = [r for r in rest if not r[0]["named"]]
+    rest = plain if names or any(r[0]["main"] for r in plain) else rest
+    inside = [r for r in rest if r[0]["main"]]
+    if inside and main:
+        rest = inside
+    else:
+        rest = [r for r in rest if (r[2] not in menus if r[2] in menus or r[2] in prose else not r[0]["linked"])]
+    slots = [r for r in rest if not (r[3] and r[2] in template)]
+    return "\n".join(r[1] for r in slots)
+
+
+def extract(pages: DataFrame, share: float = 0.9, least: int = 8, few: int = 3, alignment: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    A reference node is template if at least `least` distinct pages of the host have it and its text is the same on at least
-    `share` of them; copies of one page count once. Null and empty html, and pages without any content, give an empty text. Pages
-    whose host has no other page, or no host at all (null urls), are judged by markup alone. Repeated rows and null ids stay.
+    A reference node is template if its text is the same on at least `share` of the distinct pages of the layout that have it, of
+    which there are `least` or more, or on all of `few` or more; copies of one page count once. Inside article or main as well:
+    what stands on all pages is no page's own. Null and empty html, and pages without any content, give an empty text. Pages
+    whose layout has fewer pages, or no host (null urls), are judged by markup alone, as all are without `alignment`. Very long
+    and very deep pages are aligned as others are: in time proportional to the product of what differs between two lists of children, without
+    recursion. Repeated rows and null ids stay; other columns aren't read; an empty table gives an empty result.
     """
-    trees = written(references(pages), "references")
-    found = written(aligned(pages, trees), "aligned")
-    discard(trees)
-    seen = found.where("size(blocks) > 0").select("host", "digest", F.transform("blocks", lambda b: F.struct(b.node, b.same)).alias("b"))
-    seen = seen.dropDuplicates(["host", "digest"]).select("host", F.explode("b").alias("b")).select("host", "b.node", "b.same").where("node >= 0")
-    counts = seen.groupBy("host", "node").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("k"))
-    constant = counts.where((F.col("n") >= least) & (F.col("k") >= share * F.col("n")))
-    constant = written(constant.groupBy("host").agg(F.collect_list("node").alias("template")), "template")
-    rows = found.join(constant, "host", "left")
-    varies = lambda b: ~(b.same & F.coalesce(F.array_contains(F.col("template"), b.node), F.lit(False)))
-    text = F.array_join(F.transform(F.filter("blocks", varies), lambda b: b.text), "\n")
-    rows = rows.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+    found = written(parsed(pages), "parsed")
+    wrapper = wrappers(found if alignment else found.where("false"), share, least, few)
+    rows = found.drop("digest").join(wrapper, ["host", "layout"], "left")
+    lists = ("template", "menus", "prose")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 200):
+                b = whole.slice(i, 200)
+                told = zip(*[[set(x or ()) for x in b.column(c).to_pylist()] for c in lists], *[[x is None or x for x in b.column(c).to_pylist()] for c in ("names", "main")], strict=True)
+                texts = [_content(*row) for row in zip(b.column("blocks").to_pylist(), b.column("texts").to_pylist(), _partners(b), told, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    columns = ["page_id", "url", "host", "layout", "parents", "tags", "hashes", "blocks", "texts", "r_parents", "r_tags", "r_hashes", *lists, "names", "main"]
+    text = map_arrow(rows.select(*columns), run, "page_id long, url string, text string")
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
