@@ -80,6 +80,23 @@ def test_files_come_back_whole(spark, made):
     assert archive.bucket_records(spark, str(pool)).where("not crc_ok").isEmpty()
 
 
+def test_shared_lists_and_selections(spark, made):
+    """Files that share a list all come back; a selection of one file reads no further than its own list."""
+    _, pool, lists, expected = made
+    a, b, c = lists
+    got = extracted(spark, pool, [a, ("copy", a[1], a[2]), ("part", a[1], 300), b, c])
+    assert {n: b"".join(bytes(r.data) for r in rows) for n, rows in got.items()} == {**expected, "copy": expected["a"], "part": expected["a"][:300]}
+    found = archive.shards(spark, f"{pool}/file_chunk1.index")
+    places = spark.createDataFrame([(x[1],) for x in lists], "off long")
+    assert sorted(map(tuple, archive.list_ends(places.union(places)).collect())) == [(a[1], b[1]), (b[1], c[1]), (c[1], None)]
+    assert b"".join(bytes(r.data) for r in extracted(spark, pool, [b])["b"]) == expected["b"]
+    ci = archive.shards(spark, f"{pool}/chunk_index.index")
+    resolved = archive.resolved_chunks(archive.chunk_records(archive.records(ci, 29), 29))
+    one = spark.createDataFrame([a], "file string, off long, size long")
+    rows = archive.file_chunks(one, found, resolved, archive.bucket_records(spark, str(pool)), places).collect()
+    assert len(rows) == 2 and all(r.needed and r.exact for r in rows)
+
+
 def test_wrong_size_is_seen(spark, made):
     _, pool, lists, _ = made
     got = extracted(spark, pool, [(n, off, size + (n == "a")) for n, off, size in lists])

@@ -36,13 +36,13 @@ def one(spark, column, kind="string"):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("value", "text"), [(167000, "167 KB/s"), (1.2e6, "1.2 MB/s"), (106e6, "106 MB/s"), (0, "0 B/s")])
+@pytest.mark.parametrize(("value", "text"), [(167000, "167 KB/s"), (1.2e6, "1.2 MB/s"), (106e6, "106 MB/s"), (0, "0 B/s"), (None, "0 B/s"), (12345678901, "12,346 MB/s")])
 def test_rate(spark, value, text):
-    assert one(spark, expr.rate(F.lit(value))) == text
+    assert one(spark, expr.rate(F.lit(value).cast("double"))) == text
 
 
 def test_formatting(spark):
-    assert [one(spark, expr.human(F.lit(n).cast("long"))) for n in (None, 0, 1023, 1024, 1536, 5 * 2**40, 3000 * 2**40)] == ["0B", "0B", "1023B", "1.0K", "1.5K", "5.0T", "3,000.0T"]
+    assert [one(spark, expr.human(F.lit(n).cast("long"))) for n in (None, 0, -5000, -12, 1023, 1024, 1536, 5 * 2**40, 3000 * 2**40)] == ["0B", "0B", "-4.9K", "-12B", "1023B", "1.0K", "1.5K", "5.0T", "3,000.0T"]
     assert [one(spark, expr.hms(F.lit(n).cast("double"))) for n in (None, -5, 59.9, 61, 3600, 360000)] == ["--:--", "00:00", "00:59", "01:01", "1:00:00", "100:00:00"]
     assert one(spark, expr.hms(F.lit(float("nan")))) == "--:--"
     assert [one(spark, expr.safe_name(F.lit(n))) for n in ("a b/ü.1", "", None)] == ["a_b_ü.1", "archive", "archive"]

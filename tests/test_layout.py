@@ -16,7 +16,7 @@ def test_layout(spark, tmp_path):
 
 
 def test_version_lines(spark):
-    versions = spark.createDataFrame([(1, 1_760_000_000, "Complete"), (2, None, None), (3, 1_760_000_000, "")], "id long, timestamp long, status string")
-    presence = spark.createDataFrame([(1, "b"), (1, "a"), (3, "a")], "id long, share string")
+    versions = spark.createDataFrame([(4, 1_700_100_000, "Complete"), (6, None, None), (9, 1_700_125_200, "")], "id long, timestamp long, status string")
+    presence = spark.createDataFrame([(4, "photos"), (4, "mail"), (9, "mail")], "id long, share string")
     lines = [r.line for r in layout.version_lines(versions, presence).orderBy("id").collect()]
-    assert lines == ["1\t2025-10-09T08:53:20+00:00\t1760000000\tComplete\ta,b", "2\t-\t-\t-\t-", "3\t2025-10-09T08:53:20+00:00\t1760000000\t-\ta"]
+    assert lines == ["4\t2023-11-16T02:00:00+00:00\t1700100000\tComplete\tmail,photos", "6\t-\t-\t-\t-", "9\t2023-11-16T09:00:00+00:00\t1700125200\t-\tmail"]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultline.operators import chunks, ordering, restore, tree, versions
+from vaultline.sources.restore import progress_rows
 
 
 def dirs(spark, rows):
@@ -17,7 +18,10 @@ def test_deep_trees_cycles_and_orphans(spark):
     odd = [("x", "y", "x"), ("y", "x", "y"), ("z", "missing", "z"), ("s", "d0", "@eaDir"), ("t", "s", "under")]
     got = {r.id: r for r in tree.directories(dirs(spark, deep + odd)).collect()}
     assert got["d39"].path == "/" + "/".join(f"n{i}" for i in range(40)) and got["d39"].ancestors[0] == "d0"
-    assert set(got) == {d[0] for d in deep} | {"s", "t"} and got["t"].pruned and not got["d1"].pruned
+    assert set(got) == {d[0] for d in deep} | {"s", "t", "z"} and got["t"].pruned and not got["d1"].pruned
+    assert got["z"].path == "/z" and got["z"].ancestors == ["z"]
+    under = {r.id: r.path for r in tree.directories(dirs(spark, deep + odd + [("self", "self", "own")]), root="d0").collect()}
+    assert under["z"] == "/n0/z" and under["self"] == "/n0/own" and "x" not in under and under["d2"] == "/n0/n1/n2"
 
 
 def test_totals_are_sums_of_children(spark):
@@ -28,6 +32,29 @@ def test_totals_are_sums_of_children(spark):
     assert sorted(r.path for r in tree.file_paths(d, files).collect()) == ["/r/a/2", "/r/a/b/1", "/r/a/b/4"]
 
 
+def test_orphans_count_under_the_share_root(spark):
+    d = dirs(spark, [("r", None, "r"), ("a", "gone", "a"), ("b", "a", "b")])
+    files = spark.createDataFrame([("b", "1", 5), ("gone", "2", 7), ("r", "3", 1)], "parent string, name string, size long")
+    got = {r.id: (r.path, r.size, r.nfiles) for r in tree.subtree_totals(d, files, root="r").collect()}
+    assert got == {"r": ("/r", 13, 3), "a": ("/r/a", 5, 1), "b": ("/r/a/b", 5, 1)}
+    assert sorted(r.path for r in tree.file_paths(d, files, root="r").collect()) == ["/r/2", "/r/3", "/r/a/b/1"]
+    loose = {r.id: (r.path, r.size) for r in tree.subtree_totals(d, files).collect()}
+    assert loose == {"r": ("/r", 1), "a": ("/a", 5), "b": ("/a/b", 5)}
+
+
+@pytest.mark.parametrize("shape", ["line", "fork"])
+def test_trees_of_any_depth_are_whole(spark, shape):
+    n = 300 if shape == "line" else 64
+    rows = [(f"d{i}", f"d{i - 1 if shape == 'line' else (i - 1) // 2}" if i else None, "x") for i in range(n)]
+    got = {r.id: len(r.ancestors) for r in tree.directories(dirs(spark, rows)).collect()}
+    assert len(got) == n and got[f"d{n - 1}"] == (n if shape == "line" else 7)
+
+
+def test_select_all_and_none(spark):
+    d = dirs(spark, [("r", None, "r"), ("a", "r", "a"), ("s", None, "s"), ("o", "gone", "o"), ("q", "q", "q")])
+    assert sorted(r.id for r in tree.select_all(d).collect()) == ["o", "q", "r", "s"] and tree.select_none(d).collect() == []
+
+
 def test_selection(spark):
     d = dirs(spark, [("r", None, "r"), ("a", "r", "a"), ("b", "r", "b"), ("c", "a", "c"), ("d", "a", "d")])
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
@@ -40,20 +67,27 @@ def test_selection(spark):
     assert state == {"r": "PARTIAL", "a": "FULL", "b": "NONE", "c": "FULL", "d": "FULL"}
 
 
-T0 = 1_760_000_000
+#: 2023-11-16 02:00:00 UTC; backups follow every seven hours.
+FIRST, EVERY = 1_700_100_000, 25_200
 
 
 def backups(spark, statuses, stamps=True):
-    rows = [(i + 1, T0 + i * 86400 if stamps else None, s) for i, s in enumerate(statuses)]
+    rows = [(i + 1, FIRST + i * EVERY if stamps else None, s) for i, s in enumerate(statuses)]
     return spark.createDataFrame(rows, "id long, timestamp long, status string")
 
 
-@pytest.mark.parametrize(("spec", "version"), [("@2025-10-09", 1), ("@2025-10-10", 2), ("@2025-10-10 08:53", 2), ("@2025-10-10 08:52", 1), ("@2025-10-10T08:53:19", 1), ("@2025-10-10 08:53:20", 2), ("@2030-01-01", 2), (None, 2), ("1", 1)])
-def test_resolve(spark, spec, version):
-    assert versions.resolve(backups(spark, ["Complete", "Complete", "Backingup"]), None, spec) == version
+RESOLVED = {
+    None: 2, "2": 2, "1": 1, "@2023-11-16": 2, "@2023-11-16 02:00": 1, "@2023-11-16T08:59": 1, "@2023-11-16 08:59:59": 1,
+    "@2023-11-16 09:00:00": 2, "@2041-05-06": 2,
+}
 
 
-@pytest.mark.parametrize("spec", ["-1", "abc", "@not-a-date", "@2025-02-30", "1.5", "²"])
+@pytest.mark.parametrize("spec", RESOLVED)
+def test_resolve(spark, spec):
+    assert versions.resolve(backups(spark, ["Complete", "Complete", "Backingup"]), None, spec) == RESOLVED[spec]
+
+
+@pytest.mark.parametrize("spec", ["+3", "latest", "@yesterday", "@2023-06-31", "2e1", "٣"])
 def test_malformed(spark, spec):
     with pytest.raises(versions.InvalidVersionSpec):
         versions.resolve(backups(spark, ["Complete"]), None, spec)
@@ -62,13 +96,13 @@ def test_malformed(spark, spec):
 def test_not_found(spark):
     v = backups(spark, ["Complete", "Failure", "Complete"])
     have = spark.createDataFrame([(1,), (3,)], "id long")
-    for spec, words in (("9", "no version 9"), ("0", "no version 0"), ("2", "the backup failed"), ("@2020-01-01", "at or before")):
+    for spec, words in (("17", "no version 17"), ("0", "no version 0"), ("2", "the backup failed"), ("@1999-12-31", "at or before")):
         with pytest.raises(versions.VersionNotFound, match=words):
             versions.resolve(v, have, spec)
     with pytest.raises(versions.VersionNotFound, match="incomplete"):
         versions.resolve(v, None, "2")
     with pytest.raises(versions.VersionNotFound, match="no version dates"):
-        versions.resolve(backups(spark, [None], stamps=False), None, "@2025-01-01")
+        versions.resolve(backups(spark, [None], stamps=False), None, "@2023-11-20")
     with pytest.raises(versions.VersionNotFound, match="no usable"):
         versions.resolve(backups(spark, ["Failure"]), None, None)
     assert versions.resolve(v, None, "2", allow_incomplete=True) == 2
@@ -121,3 +155,16 @@ def test_runs(spark):
     bad = [0, 1, 1, 0, 1, 0, 0, 1, 1, 1]
     frame = spark.createDataFrame([(1, i, bool(b)) for i, b in enumerate(bad)], "g int, i int, bad boolean")
     assert sorted((r.start, r.length) for r in ordering.run_lengths(frame, ["g"], ["i"], "bad").collect()) == [(1, 2), (4, 1), (7, 3)]
+
+
+def test_progress_in_batches(spark):
+    sizes = {"a": [3, 3, 3, 3, 1], "b": [20], "c": [], "d": [1, 9, 10]}
+    rows = [(p, i, n) for p, x in sizes.items() for i, n in enumerate(x)]
+    got = progress_rows(spark.createDataFrame(rows, "path string, seq long, length long").repartition(3), step=10).collect()
+    assert sorted((r.p, r.k, r.b) for r in got) == sorted([("a", "P", 12), ("a", "P", 1), ("b", "P", 20), ("d", "P", 10), ("d", "P", 10), *[(p, "O", 0) for p in "abd"]])
+
+
+def test_error_report(spark):
+    errors = spark.createDataFrame([(i, f"e{i}") for i in range(5)], "i int, m string")
+    lines = lambda n: [r.line for r in restore.error_report(errors, ["i"], F.col("m"), n).orderBy("rn").collect()]
+    assert lines(3) == ["  failed: e0", "  failed: e1", "  failed: e2", "  and 2 more"] and len(lines(5)) == 5 and lines(9)[-1] == "  failed: e4"

@@ -112,18 +112,19 @@ def is_sidecar(name: Column) -> Column:
 
 
 def human(n: Column) -> Column:
-    """Bytes by powers of 1024: whole bytes, else one digit and a unit, T at most; null is 0."""
+    """Bytes by powers of 1024: whole bytes, else one digit and a unit, T at most; null is 0; less than none by its size."""
     n = F.coalesce(n, F.lit(0)).cast("double")
+    size = F.abs(n)
     out = F.concat(F.format_number(n / 1024.0**4, 1), F.lit("T"))
     for power, unit in ((3, "G"), (2, "M"), (1, "K")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_number(n / 1024.0**power, 1), F.lit(unit))).otherwise(out)
-    return F.when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit("B"))).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), F.concat(F.format_number(n / 1024.0**power, 1), F.lit(unit))).otherwise(out)
+    return F.when(size < 1024, F.concat(F.format_string("%.0f", n), F.lit("B"))).otherwise(out)
 
 
 def rate(bps: Column) -> Column:
-    """Bytes a second by powers of 1000, with one digit from 1 to 10 MB/s."""
-    bps = bps.cast("double")
-    fixed = lambda digits, by, unit: F.format_string(f"%.{digits}f {unit}", bps / by)
+    """Bytes a second by powers of 1000, with thousands separators, and one digit from 1 to 10 MB/s; null is 0."""
+    bps = F.coalesce(bps, F.lit(0)).cast("double")
+    fixed = lambda digits, by, unit: F.concat(F.format_number(bps / by, digits), F.lit(f" {unit}"))
     return (
         F.when(bps >= 1e7, fixed(0, 1e6, "MB/s")).when(bps >= 1e6, fixed(1, 1e6, "MB/s")).when(bps >= 1e3, fixed(0, 1e3, "KB/s")).otherwise(fixed(0, 1.0, "B/s"))
     )
@@ -168,22 +169,19 @@ def codec_name(kind: Column) -> Column:
     return out
 
 
-MOMENT = r"^(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?$"
-
-
 def moment_bound(text: Column) -> Column:
     """The last second that a date, minute or second covers, as unix seconds in the session's time zone; null if malformed.
 
-    A date ends a second before the next local midnight, so that days of 23 and 25 hours come out right.
+    A day, and after a blank or a T hours and minutes, with or without seconds. A date ends a second before the next local
+    midnight, so that days of 23 and 25 hours come out right.
     """
-    t = F.trim(text)
-    part = lambda k: F.regexp_extract(t, MOMENT, k)
-    day, clock = part(1), F.concat(part(2), F.lit(":"), part(3))
-    valid = F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))
-    midnight = F.unix_timestamp(F.date_add(F.to_date(valid), 1).cast("timestamp")) - 1
-    at = lambda s: F.unix_timestamp(F.try_to_timestamp(F.concat(day, F.lit(" "), clock, F.lit(":"), s), F.lit("yyyy-MM-dd HH:mm:ss")))
-    bound = F.when(part(2) == "", midnight).when(part(4) == "", at(F.lit("59"))).otherwise(at(part(4)))
-    return F.when(t.rlike(MOMENT) & valid.isNotNull(), bound)
+    parts = F.split(F.trim(text), "[ T]", 2)
+    day, clock = F.get(parts, 0), F.get(parts, 1)
+    date = F.try_to_timestamp(F.when(day.rlike("^[0-9]{4}(-[0-9]{2}){2}$"), day), F.lit("yyyy-MM-dd"))
+    whole_day = F.unix_timestamp(F.date_add(F.to_date(date), 1).cast("timestamp")) - 1
+    second = F.when(clock.rlike("^[0-9]{2}:[0-9]{2}$"), F.concat(clock, F.lit(":59"))).when(clock.rlike("^([0-9]{2}:){2}[0-9]{2}$"), clock)
+    moment = F.unix_timestamp(F.try_to_timestamp(F.concat(day, F.lit(" "), second), F.lit("yyyy-MM-dd HH:mm:ss")))
+    return F.when(date.isNotNull(), F.when(clock.isNull(), whole_day).otherwise(moment))
 
 
 def when_text(seconds: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, expr
-from ..operators import chunks, ordering, versions
+from ..operators import chunks, ordering, restore, versions
 from ..sources.storage import table
 
 CHUNK = 512
@@ -43,7 +43,7 @@ def version_ids_union(spark, sf):
     return a.union(b).distinct()
 
 
-MOMENTS = ("2025-10-09", "2025-10-10", "2025-10-10 08:53", "2025-10-10 08:52", "2025-10-09T08:53:19", "2025-10-09 08:53:20", "2030-01-01", "2024-02-29", "not-a-date", "2025-02-30", " 2025-10-09 ", "2025-10-09 08:5")
+MOMENTS = ("2023-11-16", "2023-11-17", "2023-11-16 02:00", "2023-11-16 01:59", "2023-11-16T01:59:59", "2023-11-16 02:00:00", "2041-05-06", "2000-02-29", "yesterday", "2023-06-31", "  2023-11-16  ", "2023-11-16 2:00")
 
 
 def moment_bounds(spark, sf):
@@ -181,20 +181,22 @@ def safe_names_codecs(spark, sf):
 
 
 def cache_fingerprint(spark, sf):
-    """One digest per share over its ordered versions, as a cache key."""
-    entry = F.concat_ws(":", "o_orderkey", F.floor("o_totalprice").cast("string"))
-    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("share"), F.struct("o_orderkey", entry.alias("e")).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.e), "|")
-    return rows.groupBy("share").agg(F.substring(F.sha1(text), 1, 16).alias("fingerprint"))
+    """The key of each archive's index: schema, root, encryption, and name, size and time of every list that it was built from."""
+    orders = table(spark, sf, "orders").withColumns({"root": F.col("o_custkey") % 50, "at": F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))})
+    entry = F.concat_ws(":", F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("string"), F.col("at").cast("string"))
+    prefix = F.concat(F.lit("schema=3|root="), F.col("root").cast("string"), F.lit("|enc="), (F.col("root") % 2 == 0).cast("string"))
+    return restore.index_key(orders, "root", "o_orderkey", entry, F.floor(F.col("o_orderkey") / 4096), prefix)
 
 
 def stale_cache(spark, sf):
-    """Cached indexes whose version is gone, superseded (the current one, kept elsewhere) or not recorded."""
-    cached = table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_orderkey") + F.col("l_linenumber") * 1000).alias("version"), "l_partkey").groupBy("l_partkey").agg(F.max("version").alias("version"))
-    known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("version"))
-    gone = cached.join(known, "version", "left_anti")
-    current = cached.where("version = 100")
-    return gone.unionByName(current.select(gone.columns)).select("l_partkey", "version").distinct()
+    """Line items stand for cached indexes, parts for archives, of which every third is open at version 3."""
+    version = F.when(F.col("l_linenumber") != 5, F.col("l_linenumber").cast("long"))
+    name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    cached = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("root"), version.alias("version"), name.alias("name"))
+    present = table(spark, sf, "part").select(F.col("p_partkey").alias("root"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("p_size") % 4)).alias("version"))
+    keep = cached.where("version = 3").groupBy("root").agg(F.min("name").alias("keep"))
+    current = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("root"), F.lit(3).cast("long").alias("version")).join(keep, "root", "left")
+    return restore.stale(cached, present, current)
 
 
 def slice_sample(spark, sf):
@@ -279,18 +281,27 @@ ORACLE_SQL = {
         SELECT source, logical, refs, coalesce(stored, 0) AS stored, coalesce(chunks, 0) AS chunks FROM l LEFT JOIN st USING (source)""",
     "key_trial": "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 END AS INTEGER) AS key FROM documents",
     "codec_roundtrip": "SELECT doc_id, md5(text) AS md5 FROM documents",
+    "crc_records": """WITH t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+          FROM (SELECT unnest(range(0, 256)) AS i)),
+        r AS (SELECT l_orderkey, l_linenumber, [(l_orderkey >> 56) & 255] || list_transform(range(6, -1, -1), lambda k: (l_orderkey >> (8 * k)) & 255) || list_transform(range(7, -1, -1), lambda k: (l_partkey >> (8 * k)) & 255)
+          || list_transform(range(7, -1, -1), lambda k: (l_suppkey >> (8 * k)) & 255) || list_transform(range(3, -1, -1), lambda k: (CAST(l_linenumber AS BIGINT) >> (8 * k)) & 255) AS b FROM lineitem)
+        SELECT l_orderkey, l_linenumber, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) AS crc, CAST(len(b) AS BIGINT) AS bytes FROM r, t""",
     "aes_names": "SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN '<undecryptable:AAAA>' ELSE c_name END AS name FROM customer",
     "human_rate_hms": """WITH o AS (SELECT o_orderkey, o_orderkey * o_orderkey * 1021 + 7 AS b, o_orderkey * 7 AS s FROM orders) SELECT o_orderkey,
-        CASE WHEN b < 1024 THEN format('{:.0f}B', b::DOUBLE) WHEN b < 1048576 THEN format('{:,.1f}K', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:,.1f}M', b / 1048576.0::DOUBLE)
+        CASE WHEN abs(b) < 1024 THEN format('{:.0f}B', b::DOUBLE) WHEN b < 1048576 THEN format('{:,.1f}K', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:,.1f}M', b / 1048576.0::DOUBLE)
           WHEN b < 1099511627776 THEN format('{:,.1f}G', b / 1073741824.0::DOUBLE) ELSE format('{:,.1f}T', b / 1099511627776.0::DOUBLE) END AS human,
-        CASE WHEN b >= 1e7 THEN format('{:.0f} MB/s', b / 1e6) WHEN b >= 1e6 THEN format('{:.1f} MB/s', b / 1e6) WHEN b >= 1e3 THEN format('{:.0f} KB/s', b / 1e3) ELSE format('{:.0f} B/s', b::DOUBLE) END AS rate,
+        CASE WHEN b >= 1e7 THEN format('{:,.0f} MB/s', b / 1e6) WHEN b >= 1e6 THEN format('{:,.1f} MB/s', b / 1e6) WHEN b >= 1e3 THEN format('{:,.0f} KB/s', b / 1e3) ELSE format('{:,.0f} B/s', b::DOUBLE) END AS rate,
         CASE WHEN s >= 3600 THEN (s // 3600) || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS hms FROM o""",
     "safe_names_codecs": r"""SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}\-._]', '_', 'g') AS safe,
         CASE page_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'lz4' WHEN 2 THEN 'lz4-hc' WHEN 4 THEN 'zlib' WHEN 3 THEN 'unknown(3)' ELSE '?' END AS codec,
         CASE WHEN length(url) > 24 THEN substring(url, 1, 23) || '…' ELSE url END AS label, CASE WHEN contains(url, '.') THEN lower(split_part(url, '.', -1)) ELSE '' END AS ext FROM pages""",
-    "cache_fingerprint": "SELECT o_custkey % 50 AS share, substring(sha1(string_agg(o_orderkey || ':' || CAST(floor(o_totalprice) AS BIGINT), '|' ORDER BY o_orderkey)), 1, 16) AS fingerprint FROM orders GROUP BY 1",
-    "stale_cache": """WITH c AS (SELECT l_partkey, max(CASE WHEN l_linenumber % 4 <> 0 THEN l_orderkey + l_linenumber * 1000 END) AS version FROM lineitem GROUP BY 1)
-        SELECT l_partkey, version FROM c WHERE version IS NULL OR version = 100 OR version NOT IN (SELECT o_orderkey FROM orders)""",
+    "cache_fingerprint": """WITH b AS (SELECT o_custkey % 50 AS root, o_orderkey // 4096 AS block,
+          sha1(string_agg(o_orderkey || ':' || CAST(floor(o_totalprice) AS BIGINT) || ':' || CAST(epoch(o_orderdate) AS BIGINT), '|' ORDER BY o_orderkey)) AS e FROM orders GROUP BY 1, 2)
+        SELECT root, substring(sha1('schema=3|root=' || root || '|enc=' || (root % 2 = 0) || '|' || string_agg(e, '|' ORDER BY block)), 1, 16) AS fingerprint FROM b GROUP BY root""",
+    "stale_cache": """WITH c AS (SELECT l_partkey AS root, CASE WHEN l_linenumber <> 5 THEN CAST(l_linenumber AS BIGINT) END AS version, l_orderkey || '-' || l_linenumber AS name FROM lineitem),
+        k AS (SELECT root, min(name) AS keep FROM c WHERE version = 3 GROUP BY root)
+        SELECT c.root, version, name FROM c JOIN part ON p_partkey = c.root AND p_partkey % 3 = 0 LEFT JOIN k ON k.root = c.root
+        WHERE name IS DISTINCT FROM keep AND (version IS NULL OR version = 3 OR version > 1 + p_size % 4)""",
     "slice_sample": """WITH f AS (SELECT DISTINCT l_returnflag, l_orderkey * 8 + l_linenumber AS ovf FROM lineitem WHERE l_extendedprice > 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY ovf) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM f),
         k AS (SELECT *, least(20, n) AS k FROM r), s AS (SELECT *, ((i + 1) * k - 1) // n AS slice FROM k)

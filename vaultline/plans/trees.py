@@ -132,6 +132,15 @@ def selection_totals(spark, sf):
     return chosen.agg(F.count("*").alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("nfiles"), F.lit(0)).alias("files"))
 
 
+def selection_all(spark, sf):
+    """Everything selected, against nothing: items, bytes and files of both."""
+    dirs = _dirs(spark, sf)
+    totals = tree.subtree_totals(dirs, _orders_as_files(spark, sf))
+    sums = [F.count("*").alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("nfiles"), F.lit(0)).alias("files")]
+    part = lambda chosen, name: totals.join(chosen, "id", "left_semi").agg(*sums).select(F.lit(name).alias("selection"), "*")
+    return part(tree.select_all(dirs), "all").unionByName(part(tree.select_none(dirs), "none"))
+
+
 _TOTALS = """
 SELECT w.id, w.path, CAST(coalesce(sum(f.size), 0) AS BIGINT) AS size, CAST(count(f.size) AS BIGINT) AS nfiles
 FROM walk w LEFT JOIN (SELECT a.ancestor, f.size FROM (SELECT id, unnest(ancestors) AS ancestor FROM walk) a JOIN files f ON f.parent = a.id) f ON f.ancestor = w.id
@@ -141,7 +150,7 @@ _CHOSEN = "chosen AS (SELECT unnest(['n3', 'c17', 'c25', 'r1']) AS id)"
 
 QUERIES = {f.__name__: f for f in (
     tree_paths, tree_subtree_totals, tree_roots_by_size, tree_children_sorted, tree_sidecar_prune, subtree_files, glob_filter,
-    substring_filter, name_search_topk, list_first_200, match_totals, selection_state, selection_toggle, selection_totals,
+    substring_filter, name_search_topk, list_first_200, match_totals, selection_state, selection_toggle, selection_totals, selection_all,
 )}
 
 ORACLE_SQL = {
@@ -166,6 +175,8 @@ ORACLE_SQL = {
         SELECT id, CASE WHEN id IN (SELECT id FROM over_) THEN 'FULL' WHEN id IN (SELECT id FROM up) THEN 'PARTIAL' ELSE 'NONE' END AS state FROM walk""",
     "selection_toggle": f"""WITH {_CHOSEN} SELECT id FROM chosen WHERE id <> 'r1' AND id NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_nationkey = 1)
         UNION SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 1""",
+    "selection_all": f"""WITH {_ORDER_FILES} SELECT 'all' AS selection, (SELECT count(*) FROM region) AS items, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files
+        FROM files WHERE parent IN (SELECT 'c' || c_custkey FROM customer) UNION ALL SELECT 'none', 0, 0, 0""",
     "selection_totals": f"""{_cte()}, {_CHOSEN}, {_ORDER_FILES}, t AS ({_TOTALS}), s AS (SELECT id FROM chosen
         WHERE id NOT IN (SELECT id FROM walk WHERE list_contains(ancestors, 'r0')) UNION SELECT 'r0')
         SELECT count(*) AS items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(nfiles), 0) AS BIGINT) AS files FROM t WHERE id IN (SELECT id FROM s)""",

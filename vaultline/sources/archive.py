@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import decode_chunk
 from ..functions.expr import MIB_8, be_i32, be_i64, be_u32
 from ..operators.chunks import follow, needed
+from ..operators.ordering import numbered
 
 #: Fixed values of the format.
 MAGIC, HEADER = 0x7053A86E, 64
@@ -125,15 +126,25 @@ def payloads(spark: SparkSession, pool: str, wanted: DataFrame, stored_first: bo
     return rows.mapInArrow(run, "bucket long, offset int, data binary")
 
 
-def file_chunks(lists: DataFrame, found: DataFrame, resolved: DataFrame, index: DataFrame) -> DataFrame:
+def list_ends(places: DataFrame) -> DataFrame:
+    """off, next of the distinct offsets in places (off): next is the following one, null after the last."""
+    rows = numbered(places.select("off").distinct(), "off")
+    after = rows.select(F.col("off").alias("next"), (F.col("rn") - 1).alias("rn"))
+    return rows.join(after, "rn", "left").select("off", "next")
+
+
+def file_chunks(lists: DataFrame, found: DataFrame, resolved: DataFrame, index: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """file, seq, bucket, offset, needed, exact, error for lists (file, off, size) of one file_chunk family.
 
-    A file's keys are read from its place on until their chunks' lengths reach its size; a list ends 12 bytes before the next.
+    A file's keys are read from its place on until their chunks' lengths reach its size. A list ends 12 bytes before the next
+    one, and has no more keys than the file has bytes; files may share a list. Where lists holds some of the family's files
+    only, `places` (off) names all lists, so that no more than a file's own list is read.
     resolved: key, bucket, offset, error of chunk_index records; index: bucket_records().
     """
     stream_end = found.agg(F.max(F.col("start") + F.length("data"))).first()[0] or 0
-    following = F.lead("off").over(Window.orderBy("off"))  # the offsets of one family's lists, not their keys
-    reads = lists.withColumn("len", F.coalesce(following - 12, F.lit(stream_end)) - F.col("off")).select(F.col("file").alias("read"), "off", "len", "size")
+    ends = list_ends(lists.select("off") if places is None else places.select("off").unionByName(lists.select("off")))
+    most = F.least(F.coalesce(F.col("next") - 12, F.lit(stream_end)) - F.col("off"), 8 * F.greatest("size", F.lit(0)))
+    reads = lists.join(ends, "off").withColumn("len", most).select(F.col("file").alias("read"), "off", "len", "size")
     data = ranges(reads, found)
     n = F.floor(F.length("data") / 8).cast("int")
     keys = data.select(F.col("read").alias("file"), "size", "data", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("seq"))

@@ -69,6 +69,38 @@ def write_files(parts: DataFrame, target: str) -> DataFrame:
     return rows.mapInArrow(run, "p string, s long, m string, o long, error string")
 
 
+def progress_rows(parts: DataFrame, step: int = 1 << 22) -> DataFrame:
+    """k, p, b: what writing each file of parts (path, seq, length) reports: P with the bytes of each batch of `step` or more,
+    P with what is left at its end, and O for the file. Parts are streamed in order; memory holds one count."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.select("path", F.col("seq").cast("long"), F.col("length").cast("long")).repartition(n, "path").sortWithinPartitions("path", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, pending = None, 0
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["k", "p", "b"])
+
+        def end() -> list[tuple]:
+            return ([("P", path, pending)] if pending else []) + ([("O", path, 0)] if path is not None else [])
+
+        for b in batches:
+            out: list[tuple] = []
+            for own, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if own != path:
+                    out += end()
+                    path, pending = own, 0
+                pending += length or 0
+                if pending >= step:
+                    out.append(("P", path, pending))
+                    pending = 0
+            yield made(out)
+        yield made(end())
+
+    return rows.mapInArrow(run, "k string, p string, b long")
+
+
 def sweep_parts(target: str) -> int:
     """Delete what interrupted writers left below target; how many files that was."""
     found = [os.path.join(d, f) for d, _, files in os.walk(target) for f in files if f.endswith(".part")]
