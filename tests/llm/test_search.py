@@ -4,40 +4,71 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vaultline.llm import fingerprint as fp
 from vaultline.llm import topk, urls
 
 
-@pytest.mark.parametrize("blocks", [(8192, 1024), (7, 3)])
-def test_top_k_equals_brute_force(spark, blocks):
+LIMITS = [{}, {"rows_per_block": 7, "queries_per_batch": 3, "sample": 30, "pivots": 4}, {"sample": 2, "pivots": 1}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_top_k_equals_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     v = rng.normal(0, 0.3, (90, 17)).astype(np.float32)
     v[40:60] = v[10]  # ties
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)]
-    rows += [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 17, 0), (203, [float("inf")] * 17, 0), (None, [1.0] * 17, 0), (5, [float(x) for x in v[5]], 1), (220, [], 0)]
+    rows += [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 17, 0), (203, [float("inf")] * 17, 0), (None, [1.0] * 17, 0), (220, [], 0)]
+    rows += [(5, [float(x) for x in v[7]], 1), (20, [float(x) for x in v[8]], 1), (20, [float(x) for x in v[20]], 1)]  # ids that repeat
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
-    made = topk.quantised(table)
-    got = {}
-    for r in topk.top_k(made.where("vec_id % 20 = 0"), made, 5, *blocks).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    q = {i: np.floor(64 * r.astype(np.float64)).astype(np.int64) for i, r in enumerate(v)} | {220: np.zeros(17, np.int64)}
-    assert sorted(got) == [0, 20, 40, 60, 80, 220]
-    for i, rows in got.items():
-        best = sorted((-int(q[i] @ x), j) for j, x in q.items() if j != i)[:5]
-        assert sorted(rows) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    got = [tuple(r) for r in topk.top_k(topk.quantised(table), F.col("vec_id") % 20 == 0, 5, **limits).collect()]
+    kept = [(i, np.floor(64 * np.array(x)).astype(np.int64) if len(x) else np.zeros(17, np.int64)) for i, x, _ in rows if i is not None and x is not None and all(e is not None and np.isfinite(e) for e in x)]
+    want = []
+    for a, (i, x) in enumerate(kept):
+        if i % 20 == 0:
+            best = sorted((-int(x @ y), j) for b, (j, y) in enumerate(kept) if a != b)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want) and len(got) == 5 * 8
+
+
+def test_all_rows_of_an_id_are_candidates(spark):
+    made = spark.createDataFrame([(20, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [5.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(topk.quantised(made), F.col("vec_id") == 20).collect()]
+    assert sorted(got) == [(20, 1, 1, 64 * 64 * 6), (20, 2, 1, 64 * 64 * 2)]
 
 
 def test_top_k_large_scores_are_exact(spark):
     big = [[2.0**25 + 1, 3.0], [2.0**20 + 1, 2.0**27], [-(2.0**20), 7.0]]
     made = topk.quantised(spark.createDataFrame([(20 * i, x) for i, x in enumerate(big)], "vec_id long, embedding array<double>"))
-    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(made, made).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(made, F.lit(True)).collect()}
     for i, x in enumerate(big):
         for j, y in enumerate(big):
             if i != j:
                 assert got[20 * i, 20 * j] == sum(int(64 * a) * int(64 * b) for a, b in zip(x, y, strict=True))
 
 
+def test_few_pairs_of_clustered_vectors_are_scored():
+    """Twenty clusters: under a tenth of all pairs reaches the exact scores, and blocks of other clusters are left out."""
+    rng = np.random.default_rng(12)
+    centers = rng.normal(0, 40, (20, 64))
+    x = np.floor(np.repeat(centers, 150, axis=0) + rng.normal(0, 4, (3000, 64))).astype(np.int64)
+    block = topk.Block(np.arange(3000), np.arange(3000), x)
+    q, own = x[::10], np.arange(0, 3000, 10)
+    floor = np.partition(q @ x[::7].T, -10, axis=1)[:, -10]  # as from a sample
+    rows, ids, scores = block.top_k(own, q, floor, 10)
+    exact = q @ x.T
+    exact[np.arange(300), own] = np.iinfo(np.int64).min
+    for i in range(300):
+        want = sorted((-int(s), j) for j, s in enumerate(exact[i]))[:10]
+        assert [(-int(s), int(j)) for s, j in zip(scores[rows == i], ids[rows == i], strict=True)] == want
+    assert block.scored < 0.1 * exact.size
+    ranges = np.array([topk._ranges(topk._statistics(x[a : a + 150].astype(float), 16)) for a in range(0, 3000, 150)])
+    bounds = topk.block_bounds(topk._statistics(q.astype(float), 16), ranges)
+    assert (bounds + 1e-6 >= np.maximum.reduceat(q @ x.T, np.arange(0, 3000, 150), axis=1)).all()
+    assert (bounds >= floor[:, None]).mean() < 0.3
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(20, 23)), rng.normal(size=(30, 23))
@@ -51,7 +82,7 @@ def test_bounds_hold():
 
 def test_empty_vectors(spark):
     made = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert topk.top_k(made, made).collect() == []
+    assert topk.top_k(made, F.lit(True)).collect() == []
 
 
 URLS = {
