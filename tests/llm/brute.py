@@ -67,3 +67,50 @@ def brute_groups(ids, texts):
             if best[j] < best[i]:
                 best[i], changed = best[j], True
     return [best[i] for i in range(len(ids))]
+
+
+def brute_language(texts, langs, held, least=3):
+    """(language, score) of each text by words and n-grams of those that aren't held out, word by word."""
+    import math
+    import re
+
+    words = lambda t: re.findall(r"[^\W\d_]{1,64}", (t or "").lower())
+    known = sorted({k for k, h, t in zip(langs, held, texts, strict=True) if k is not None and t is not None and not h})
+    docs, count, grams = Counter(), {k: Counter() for k in known}, {k: Counter() for k in known}
+    for t, k, h in zip(texts, langs, held, strict=True):
+        if k is None or t is None or h:
+            continue
+        docs[k] += 1
+        for w in words(t):
+            count[k][w] += 1
+            for n in range(1, 6):
+                for i in range(len(w) + 3 - n):
+                    grams[k][f"^{w}$"[i : i + n]] += 1
+    every_word, every_gram = sum(count.values(), Counter()), sum(grams.values(), Counter())
+    mass = {k: sum(count[k].values()) for k in known}
+    frequent = {g for g, n in every_gram.items() if n >= least}
+    sizes = {k: Counter() for k in known}
+    for k in known:
+        for g, n in grams[k].items():
+            if g in frequent:
+                sizes[k][len(g)] += n
+    floor = min(math.log(0.5 / (mass[k] + 1)) for k in known)
+
+    def of(w, k):
+        if every_word[w] >= least:
+            return math.log((count[k][w] + 0.5) / (mass[k] + 1))
+        for n in range(5, 0, -1):
+            found = [g for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in frequent]
+            if found:
+                return sum(math.log((grams[k][g] + 0.5) / (sizes[k][n] + 1)) for g in found) / len(found)
+        return floor
+
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        z = {k: math.log(docs[k] / sum(docs.values())) + sum(of(w, k) for w in words(t)) for k in known}
+        best = max(known, key=lambda k: z[k])
+        out.append((best, 1 / sum(math.exp(max(-700, z[k] - z[best])) for k in known)))
+    return out

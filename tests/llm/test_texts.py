@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from brute import brute_language
+from pyspark.sql import functions as F
 
 from vaultline.llm import html, language
 
@@ -52,6 +54,30 @@ def test_backoff_orders():
     assert model.of_word("qq").tolist() == [-20, -20]
 
 
+def test_languages_equal_a_plain_scorer(spark):
+    """All documents of the smallest table, predicted word by word in plain Python."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(None, "the", None), (7, "das und the", "de"), (7, "das und the", "en"), (8, None, "de"), (9, "x" * 3000, "en"), (10, "12 ²", "fr")]
+    table = spark.createDataFrame([(*r, 0.5, "y") for r in rows], "doc_id long, text string, lang string, score double, backed string")
+    held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    want = brute_language([t for _, t, _ in rows], [k for *_, k in rows], held)
+    expected = sorted((str(i), h, k, round(s, 6)) for (i, *_), h, (k, s) in zip(rows, held, want, strict=True))
+    got = language.identify(table).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 6)) for r in got) == expected
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_what_was_not_learned_is_rejected(docs):
+    texts = ENGLISH * 4 + GERMAN * 4 + ["кошка сидит на ковре и смотрит на луну", "猫がマットの上に座っています"]
+    made = docs(texts).withColumn("lang", F.when(F.col("doc_id") < 8, "en").when(F.col("doc_id") < 16, "de"))
+    assert sorted(r.doc_id for r in language.keep_identified(made).collect()) == list(range(16))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body class="x">
 <nav><ul><li><a href="/a">menu {i}</a></ul></nav><div class="ad">buy {i}</div><article><h1>Title &amp; {i}</h1>
 <p>First  para\n {i}<p><b>Second {i}<br>line</b></p><p>Share this page</p><form>mail {i}</form><section id="comments"><p>first! {i}</p></section></article>
