@@ -114,3 +114,47 @@ def brute_language(texts, langs, held, least=3):
         best = max(known, key=lambda k: z[k])
         out.append((best, 1 / sum(math.exp(max(-700, z[k] - z[best])) for k in known)))
     return out
+
+
+def slow_sketch(text, size=64):
+    """The smallest hashes of the phrase names of a text, symbol by symbol."""
+    word = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0x9E3779B97F4A7C15 & word
+        x ^= x >> 29
+        x = x * 0xBF58476D1CE4E5B9 & word
+        return x ^ x >> 32
+
+    def toss(before, own):
+        k = ((before ^ own) & -(before ^ own)).bit_length() - 1 if before != own else 0
+        return 2 * k + (own >> k & 1)
+
+    def phrases(symbols):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        s = [x if n == 1 else mix(x + n * 0xD6E8FEB86659FD93 & word) for x, n in runs]
+        label = [s[0] & 1] + [toss(a, b) for a, b in zip(s, s[1:])]
+        for _ in range(3):
+            label = [label[0] & 1] + [toss(a, b) for a, b in zip(label, label[1:])]
+        starts = [0] + [i for i in range(2, len(s) - 1) if label[i - 1] < label[i] > label[i + 1]]
+        return [mix(sum(mix(s[i] + mix(i - a + 1) & word) for i in range(a, b)) & word) for a, b in zip(starts, [*starts[1:], len(s)])]
+
+    symbols, names, level = [ord(c) for c in text], set(), 0
+    while symbols:
+        if level or len(symbols) == 1:
+            names |= {mix(x) >> 32 for x in symbols}
+        if len(symbols) == 1:
+            break
+        symbols, level = phrases(symbols), level + 1
+    return sorted(names)[:size]
+
+
+def slow_likeness(a, b, size=64):
+    both = sorted(set(a) | set(b))[:size]
+    return sum(x in a and x in b for x in both) / len(both) if both else 1.0

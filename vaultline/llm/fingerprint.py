@@ -22,8 +22,6 @@ from .common import map_arrow, table
 
 #: Hashes in a fingerprint.
 SIZE = 64
-#: Texts whose second level has fewer phrases also count those of the first.
-FEW = 8
 CHARS = 600_000
 
 
@@ -94,7 +92,10 @@ def _phrases(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """For each text the SIZE smallest 32-bit hashes of its distinct phrase names, in order; none for an empty text."""
+    """For each text the SIZE smallest 32-bit hashes of its distinct phrase names of all levels, in order; none for an empty text.
+
+    A text of one symbol has that symbol's name.
+    """
     owner = np.array([i for i, t in enumerate(texts) if t], np.int64)
     out = [np.zeros(0, np.uint32)] * len(texts)
     if not len(owner):
@@ -106,8 +107,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     while len(doc):
         count = np.diff(np.append(first, len(s)))
         done = count == 1
-        small = (level == 1) & ((count < FEW * 3))
-        take = np.repeat(done | small | (level >= 2), count)
+        take = np.repeat(done | (level >= 1), count)
         parts.append((np.repeat(doc, count)[take].astype(np.uint64) << np.uint64(32)) | (_mix(s[take]) >> np.uint64(32)))
         if done.any():
             s, doc, count = s[np.repeat(~done, count)], doc[~done], count[~done]
@@ -144,47 +144,57 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def _bucket(key, bounds: list[int], low: int = 0):
-    """How many bounds are at most key, by binary search."""
+def _bucket(key, h, bounds: list[tuple[int, int]], low: int = 0):
+    """How many bounds are at most (key, h), by binary search."""
     if not bounds:
         return F.lit(low)
     m = len(bounds) // 2
-    return F.when(key < bounds[m], _bucket(key, bounds[:m], low)).otherwise(_bucket(key, bounds[m + 1 :], low + m + 1))
+    k, v = bounds[m]
+    before = (key < k) | ((key == k) & (h < v))
+    return F.when(before, _bucket(key, h, bounds[:m], low)).otherwise(_bucket(key, h, bounds[m + 1 :], low + m + 1))
+
+
+def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Bounds (id, hash) from quantiles of ids: an id that is several of them is cut by the hashes of its texts as often."""
+    ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    return [(int(v), -(2**63) + 2**64 * i // n) for v, n in zip(ids.tolist(), times.tolist(), strict=True) for i in range(n)]
 
 
 def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, tail, doc_id, text), each bucket in one partition and in order, with one shuffle of the texts.
 
-    Buckets are ranges of doc_id. After its own rows (tail 0) a bucket holds those of the smallest doc_id of the next
+    Order: doc_id, nulls first, then a hash of the text. Buckets are ranges of both, four for each shuffle partition, so that
+    an id that many rows share, or none, is spread by its texts. After its own rows (tail 0) a bucket holds the smallest of the next
     bucket again (tail 1), the last bucket those of the first; so each row's follower stands beside it. The driver gets one
-    bound and one smallest id for each bucket. Order: doc_id, nulls first, then text.
+    bound and one smallest row's id and hash for each bucket.
     """
     spark = docs.sparkSession
-    n = buckets or min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 4 * parts
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    text = F.coalesce("text", F.lit(""))
     quantiles = F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)
-    bounds = sorted(set(docs.agg(quantiles).first()[0] or []))
-    bucket = _bucket(key, bounds)
-    smallest = dict(docs.groupBy(bucket.alias("b")).agg(F.min(key).alias("k")).collect())
-    filled = sorted(smallest)
+    bounds = _bounds(docs.agg(quantiles).first()[0] or [])
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long"), text.alias("text"))
+    rows = rows.withColumn("b", _bucket(F.col("key"), F.col("h"), bounds))
+    least = {r.b: (r.k.key, r.k.h) for r in rows.groupBy("b").agg(F.min(F.struct("key", "h")).alias("k")).collect()}
+    filled = sorted(least)
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
     size = range(len(bounds) + 1)
-    mine = F.array(*[F.lit(smallest.get(b)).cast("long") for b in size])
-    target = F.array(*[F.lit(before.get(b, 0)).cast("int") for b in size])
-    rows = docs.select(bucket.alias("b"), key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = lambda values, name: F.element_at(F.array(*[F.lit(v).cast(name) for v in values]), F.col("b") + 1)
     own = F.struct(F.col("b").cast("int").alias("bucket"), F.lit(0).alias("tail"))
-    copy = F.struct(F.element_at(target, F.col("b") + 1).alias("bucket"), F.lit(1).alias("tail"))
-    places = F.when(F.element_at(mine, F.col("b") + 1) == F.col("key"), F.array(own, copy)).otherwise(F.array(own))
-    rows = rows.select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.bucket", "p.tail", "key", "doc_id", "text")
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
-    return dealt.sortWithinPartitions("bucket", "tail", "key", "text").select("bucket", "tail", "doc_id", "text")
+    copy = F.struct(kind([before.get(b, 0) for b in size], "int").alias("bucket"), F.lit(1).alias("tail"))
+    first = (kind([least.get(b, (None, None))[0] for b in size], "long") == F.col("key")) & (kind([least.get(b, (None, None))[1] for b in size], "long") == F.col("h"))
+    rows = rows.select(F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))).alias("p"), "key", "h", "doc_id", "text")
+    dealt = rows.select("p.bucket", "p.tail", "key", "h", "doc_id", "text").repartition(parts, "bucket")
+    return dealt.sortWithinPartitions("bucket", "tail", "key", "h", "text").select("bucket", "tail", "doc_id", "text")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of whole texts, of their edited texts, and likeness to those and to the next document's.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row. Null texts
-    are empty, with an empty fingerprint. Rows of one doc_id, and those without, follow each other in order of text; the
+    are empty, with an empty fingerprint. Rows of one doc_id, and those without, follow each other in order of a hash of the text; the
     last row is followed by the first; a single row by itself. Other columns are not read. Equal texts have equal fingerprints.
     """
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
