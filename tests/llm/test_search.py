@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from brute import slow_likeness, slow_sketch
 from pyspark.sql import functions as F
 
 from vaultline.llm import fingerprint as fp
@@ -139,21 +140,71 @@ def test_fingerprints(docs, monkeypatch, batch):
     texts = ["", "a", None, "aaaaaaaaaaaa", "the same text here", "the same text here", "ünï🙂çødé " * 40, "long " * 20_000 + "end", "b"]
     ids = [5, 3, 9, 1, 7, 7, 100, 50, None]
     monkeypatch.setattr(fp, "CHARS", batch)
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
-    rows = fp.fingerprint(docs(texts, ids)).collect()
+    made = docs(texts, ids)
+    hashed = {r.text: r.h for r in made.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashed[texts[i] or ""]))
+    rows = fp.fingerprint(made).collect()
     assert len(rows) == len(texts)
     expected = []
     for k, i in enumerate(order):
         t, follow = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
         e = fp.edited(t, follow)
-        own, other, after = fp.sketches([t])[0], fp.sketches([e])[0], fp.sketches([follow])[0]
-        expected.append((ids[i], len(t), hashlib.sha256(e.encode()).hexdigest(), fp.as_text(own), fp.as_text(other), fp.likeness(own, other), fp.likeness(own, after)))
+        own, other, after = slow_sketch(t), slow_sketch(e), slow_sketch(follow)
+        digits = lambda x: "".join(f"{v:08x}" for v in x)
+        expected.append((ids[i], len(t), hashlib.sha256(e.encode()).hexdigest(), digits(own), digits(other), slow_likeness(own, other), slow_likeness(own, after)))
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, rows), key=key) == sorted(expected, key=key)
     assert fp.fingerprint(docs(["x"]).where("false")).collect() == []
     assert [r.near_next for r in fp.fingerprint(docs(["only one"])).collect()] == [1.0]
 
 
+def test_sketches_equal_symbol_by_symbol():
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list(letters), int(rng.integers(1, n)))) for letters in ("ab", "abcdefg é", "xyz🙂日") for n in (3, 12, 60, 900) for _ in range(6)]
+    for t, s in zip(texts, fp.sketches(texts), strict=True):
+        assert s.tolist() == slow_sketch(t)
+
+
+def test_edits_are_liker_than_the_next_document(spark):
+    rows = fp.fingerprint(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("n_chars >= 40").collect()
+    assert sum(r.near_edited > r.near_next or r.near_next == 1 for r in rows) >= 0.98 * len(rows)
+
+
+def test_ids_that_many_rows_share_are_spread(docs):
+    """Two hundred texts under one id and two hundred without: several buckets, and every row has its follower."""
+    texts = [f"text number {i} " * 3 for i in range(400)]
+    made = docs(texts, [7] * 200 + [None] * 200)
+    placed = fp.in_order(made, 16).where("tail = 0").groupBy("bucket").count().collect()
+    assert len(placed) >= 12 and max(r["count"] for r in placed) < 80
+    assert len(fp.fingerprint(made).collect()) == 400
+    assert fp._bounds([1, 4, 4, 9]) == [(1, -(2**63)), (4, -(2**63)), (4, 0), (9, -(2**63))]
+
+
+def test_propagation_equals_dense_pagerank(spark):
+    """Random links between 40 hosts, against the solution of the linear equations."""
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b), int(n)) for a, b, n in zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(1, 5, 150), strict=True) if a != b]
+    w = np.zeros((40, 40))
+    for a, b, n in links:
+        w[a, b] += n
+    edges = spark.createDataFrame([("trust", f"h{a}", f"h{b}", n) for a, b, n in links], "kind string, src string, dst string, n long")
+    seeds = [3, 8, 21]
+    got = {r.host: r.score for r in urls.propagate(edges, spark.createDataFrame([("trust", f"h{i}") for i in seeds], "kind string, host string")).collect()}
+    out = w.sum(axis=1, keepdims=True)
+    step = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+    exact = np.linalg.solve(np.eye(40) - 0.85 * step.T, 0.15 * np.isin(np.arange(40), seeds))
+    assert all(abs(got.get(f"h{i}", 0) - exact[i]) < 1e-5 for i in range(40)) and (exact > 0.001).sum() > 20
+
+
+def test_verdicts_with_twenty_thousand_seeds(spark):
+    """A blocked host's own pages, and those of a host that links to it, are blocked however many hosts are; a tie is allowed."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">y</a>' for h in hosts)
+    pages = [(0, "http://h5.net", None), (1, "http://shady.info/", link("h6.net")), (2, "http://both.info/", link("h7.net")), (3, "http://ok.org/fr/", link("both.info", "both.info"))]
+    pages += [(10 + i, f"http://h{i}.net/", None) for i in range(20_000)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id < 4").collect()}
+    assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"] and got[2].trust == got[2].distrust > 0
+
+
 def test_verdicts_do_not_depend_on_unrelated_hosts(spark):
     """A small graph has the same verdicts and scores alone and beside 5,000 blocked hosts that it has no links with."""
     link = '<a href="http://{}/">y</a>'

@@ -78,7 +78,8 @@ def judge(pages: DataFrame, rules=RULES, least: float = 1e-4) -> DataFrame:
 
     Trusted seeds are the hosts with a page that a rule allows; blocked seeds those that a rule blocks as a whole (its path
     is `/`), if no page is allowed. Where no rule fits, the host's scores decide: block if distrust is over `least` and over trust,
-    else allow. Null urls have empty host and path, fit no rule and are allowed; null html has no links. Repeated rows stay.
+    else allow, and so do equal scores. Null urls have empty host and path, fit no rule and are allowed; null html has no links.
+    Very long html is searched for links as a whole. Repeated rows stay, other columns aren't read, an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
