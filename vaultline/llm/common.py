@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) is one of our own set.
+    Only where the session names none and runs on one machine, as tests do, is one of our own set; a cluster has to name one.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vaultline-"))
     return jsc.getCheckpointDir().get()
 
