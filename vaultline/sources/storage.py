@@ -12,15 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the folder in spark.checkpoint.dir (one of our own only where it is unset) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; on one machine one of our own where it is unset."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vaultline-"))
-    path = f"{context.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir().get()
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
