@@ -11,8 +11,10 @@ from ..sources.storage import materialised
 def split(files: DataFrame, content: str, size: int = 512) -> DataFrame:
     """files with seq, chunk: pieces of `size` characters or bytes; an empty or null content has none."""
     n = F.ceil(F.length(content) / size).cast("int")
-    rows = files.withColumn("seq", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-    return rows.withColumn("chunk", F.substring(content, F.col("seq") * size + 1, F.lit(size))).drop(content)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(places, lambda i: F.substring(F.col(content), i * size + 1, F.lit(size)))  # rows carry a piece each, never the whole
+    others = [c for c in files.columns if c != content]
+    return files.select(*others, F.posexplode(pieces).alias("seq", "chunk"))
 
 
 def canonical(chunks: DataFrame, digest: str, place: str) -> DataFrame:

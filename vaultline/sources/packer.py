@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import MIB_8
+from ..operators.chunks import split
 from ..operators.ordering import numbered
 from .archive import HEADER, MAGIC
 from .storage import materialised
@@ -59,9 +60,8 @@ def pack(files: DataFrame, folder: str, chunk: int = 4096) -> DataFrame:
     Content is cut every `chunk` bytes; equal chunks are stored once. Buckets, index shards and lists are each
     written by the tasks that hold them, and bounded: 512 chunks, or 8 MiB.
     """
-    n = F.ceil(F.length("content") / chunk).cast("int")
-    cut = files.select("file", "content", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("seq"))
-    cut = cut.select("file", "seq", F.substring("content", F.col("seq") * chunk + 1, F.lit(chunk)).alias("data")).withColumn("md5", F.md5("data"))
+    cut = split(files.select("file", "content"), "content", chunk).select("file", "seq", F.col("chunk").alias("data"))
+    cut = cut.withColumn("md5", F.md5("data"))
     cut = materialised(cut, "cut")
     stored = numbered(cut.groupBy("md5").agg(F.min("data").alias("data")), "md5").withColumn("i", F.col("rn") - 1)
     stored = materialised(stored.withColumns({"bucket": F.floor(F.col("i") / PER_BUCKET), "slot": (F.col("i") % PER_BUCKET).cast("int")}), "stored")
