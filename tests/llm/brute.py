@@ -70,7 +70,7 @@ def brute_groups(ids, texts):
 
 
 def brute_language(texts, langs, held, least=3):
-    """(language, score) of each text by words and n-grams of those that aren't held out, word by word."""
+    """(language, score, share of words that are backed) of each text by words and n-grams of those that aren't held out, word by word."""
     import math
     import re
 
@@ -108,11 +108,12 @@ def brute_language(texts, langs, held, least=3):
     out = []
     for t in texts:
         if not any(c.isalpha() for c in t or ""):
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 0.0))
             continue
         z = {k: math.log(docs[k] / sum(docs.values())) + sum(of(w, k) for w in words(t)) for k in known}
         best = max(known, key=lambda k: z[k])
-        out.append((best, 1 / sum(math.exp(max(-700, z[k] - z[best])) for k in known)))
+        backed = [every_word[w] >= least or any(f"^{w}$"[i : i + n] in frequent for n in (3, 4, 5) for i in range(len(w) + 3 - n)) for w in words(t)]
+        out.append((best, 1 / sum(math.exp(max(-700, z[k] - z[best])) for k in known), sum(backed) / len(backed)))
     return out
 
 
@@ -158,3 +159,19 @@ def slow_sketch(text, size=64):
 def slow_likeness(a, b, size=64):
     both = sorted(set(a) | set(b))[:size]
     return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+
+def brute_jaccard(texts, width=5, similarity=0.8):
+    """The number of the first text that links of at least this likeness of word shingles reach, for each text."""
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in label for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label

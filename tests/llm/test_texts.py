@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import brute_language
+from brute import brute_covered, brute_jaccard, brute_language, brute_lines
 from pyspark.sql import functions as F
 
 from vaultline.llm import html, language
@@ -61,7 +61,7 @@ def test_languages_equal_a_plain_scorer(spark):
     table = spark.createDataFrame([(*r, 0.5, "y") for r in rows], "doc_id long, text string, lang string, score double, backed string")
     held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
     want = brute_language([t for _, t, _ in rows], [k for *_, k in rows], held)
-    expected = sorted((str(i), h, k, round(s, 6)) for (i, *_), h, (k, s) in zip(rows, held, want, strict=True))
+    expected = sorted((str(i), h, k, round(s, 6)) for (i, *_), h, (k, s, _) in zip(rows, held, want, strict=True))
     got = language.identify(table).collect()
     assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 6)) for r in got) == expected
 
@@ -197,7 +197,6 @@ def test_broken_html(source):
 
 
 def test_pipeline(spark, tmp_path):
-
     import corpus_pipeline
 
     rng = np.random.default_rng(2)
@@ -224,31 +223,50 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
-    from brute import brute_covered, brute_groups, brute_lines
+    """Every stage on all that the one before kept, in plain Python: languages, lines, likeness of shingles, strings, token ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     import corpus_pipeline
 
     rng = np.random.default_rng(6)
-    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(300)]
-    say = lambda n: " ".join(rng.choice(words, n))
-    passage, texts = say(70), []
+    words = {k: ["".join(rng.choice(list(a), int(rng.integers(2, 9)))) for _ in range(300)] for k, a in (("en", "abcdefgh"), ("de", "stuvwxyz"))}
+    say = lambda k, n: " ".join(rng.choice(words[k], n))
+    texts, langs = [], []
     for i in range(60):
-        rows = [say(int(rng.integers(3, 50))) for _ in range(int(rng.integers(1, 4)))]
+        k = "en" if i % 3 else "de"
+        rows = [say(k, int(rng.integers(3, 50))) for _ in range(int(rng.integers(1, 4)))]
         if i % 4 == 0:
-            rows[0] = f"{say(20)} {passage} {say(20)}"
+            rows[0] = f"{say(k, 20)} {say(k, 70) if i < 4 else passages[k]} {say(k, 20)}"
+        if i < 2:
+            passages = {k: say(k, 70) for k in words}
         if i % 5 == 0 and i:
             rows = texts[i - 5].split("\n")
-            rows[0] += " " + say(i % 3)
+            rows[0] += " " + say(k, i % 3)
         texts.append("\n".join(rows))
-    texts += [None, "", "12 34 ½", texts[7], texts[8] + "\n" + passage]
-    spark.createDataFrame([(3 * i, t, "en", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, rest int").write.parquet(f"{tmp_path}/documents.parquet")
+        langs.append(k)
+    long = say("en", 120).split(" ")
+    for j in range(4):  # near copies that the line stage leaves: three words differ from line to line
+        copy = list(long)
+        for at in (10 + j, 60 + j, 100 + j):
+            copy[at] = f"odd{'abcd'[j]}"
+        texts.append(" ".join(copy))
+        langs.append("en")
+    texts += [None, "", "12 34 ½", texts[7], texts[8] + "\n" + passages["en"], "кошка сидит на ковре", say("en", 9000)]
+    langs += ["en", None, "en", "en", None, None, "en"]
+    rows = [(3 * i, t, k, i) for i, (t, k) in enumerate(zip(texts, langs, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, rest int").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    left = [(3 * i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+    held = [zlib.crc32(str(3 * i).encode()) % 4 == 2 for i in range(len(texts))]
+    told = brute_language(texts, langs, held)
+    left = [(3 * i, t) for i, (t, (k, score, backed)) in enumerate(zip(texts, told, strict=True)) if k != "und" and score >= 0.5 and backed >= 0.5]
+    assert len(left) == len(texts) - 4
     gone = brute_lines([t for _, t in left])
     cut = [(d, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ()))) for i, (d, t) in enumerate(left)]
     left = [(d, t) for i, (d, t) in enumerate(cut) if not (gone.get(i) and not t.strip())]
-    group = brute_groups([d for d, _ in left], [t for _, t in left])
-    left = [(d, t) for (d, t), g in zip(left, group, strict=True) if d == g]
+    group = brute_jaccard([t for _, t in left])
+    assert sum(i != g for i, g in enumerate(group)) >= 3
+    left = [x for i, (x, g) in enumerate(zip(left, group, strict=True)) if i == g]
     expected = {}
     for (d, _), (data, hit) in zip(left, brute_covered([t for _, t in left]), strict=True):
         expected[d] = bytes(np.frombuffer(data, np.uint8)[~hit]).decode()
@@ -256,5 +274,44 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     got = {r.doc_id: r.text for r in docs.collect()}
-    assert got == expected and len(got) < 60 and sum(map(len, got.values())) < sum(len(t) for _, t in left)
+    assert got == expected and len(got) < 66 and sum(map(len, got.values())) < sum(len(t) for _, t in left)
     assert all(r.rest * 3 == r.doc_id for r in docs.collect())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = {}, {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, t in expected.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        mine = sorted(pieces.pop(d), key=lambda r: r.piece)
+        assert [(r.start, r.start + r.length) for r in mine][0][0] == 0 and sum(r.length for r in mine) == len(ids)
+        assert [r.ids_crc32 for r in mine] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in mine]
+    assert not pieces and all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 2048 for x in sequences.values())
+
+
+def test_pipeline_takes_any_rows(spark, tmp_path):
+    """Null and repeated ids, null and very long texts, rows that repeat, clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    own = [say(80) for _ in range(8)]
+    rows = [(None, own[0]), (None, own[1]), (5, own[2]), (5, own[3]), (6, own[4]), (6, own[4]), (None, None), (7, None), (8, ""), (9, say(40_000)), (None, own[5]), (None, own[5])]
+    schema = "doc_id long, text string, lang string, row string, node string, doc string, tag string, key string, rest string, n_chars int"
+    made = spark.createDataFrame([(*r, "en", *"abcdef", 0) for r in rows], schema)
+    for name, table in (("some", made), ("none", made.where("false"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = run(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}/{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+        if name == "none":
+            assert docs.collect() == [] and corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+            continue
+        kept = docs.collect()
+        assert {r.text for r in kept} >= set(own[:4]) and all(r.row == "a" and r.key == "e" and r.n_chars == len(r.text) for r in kept)
+        assert sum(r.text == own[4] for r in kept) <= 1 and sum(r.text == own[5] for r in kept) <= 1
+        assert max(len(r.text) for r in kept if r.doc_id == 9) > 100_000
