@@ -136,13 +136,14 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, rows_per_block: int =
 
     Rows are told apart by a number of their own: rows with one vec_id are candidates each, and queries each. Vectors of
     different lengths meet as if filled up with zeros. Scores are 64-bit integers; ties go to the smaller vec_id. A sample
-    of rows, by a hash, gives the first bounds, and its first ones are the pivots; both decide what is looked at, and nothing
-    about the result. A task holds one block, of `rows_per_block` or, beyond a thousand blocks for each pivot, a thousandth of
-    its cell; queries stream by. The driver gets the sample and the blocks' ranges.
+    of rows, by a hash, gives the first bounds, and its first ones are the pivots, four for each block's worth of rows and `pivots`
+    at most; both decide what is looked at, and nothing about the result. A task holds one block, of `rows_per_block` or, beyond
+    a thousand blocks for each pivot, a thousandth of its cell; queries stream by. The driver gets the sample and the ranges.
     """
     spark = vectors.sparkSession
     rows = written(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "rows")
-    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    width, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    width, n_cells = max(1, width or 0), max(1, min(pivots, -(-4 * n // rows_per_block)))
     some = rows.orderBy(F.xxhash64("row"), "row").limit(sample).collect()
     drawn = np.zeros((len(some), width), np.int64)
     for r, target in zip(some, drawn, strict=True):
@@ -150,7 +151,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, rows_per_block: int =
     shared = spark.sparkContext.broadcast((np.array([r.row for r in some], np.int64), drawn))
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shared.value[1][:pivots].astype(np.float64)
+        centers = shared.value[1][:n_cells].astype(np.float64)
         size = (centers**2).sum(axis=1)
         for b in batches:
             x = _matrix(b.column("v"), width).astype(np.float64)
@@ -159,7 +160,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, rows_per_block: int =
 
     cells = map_arrow(rows, celled, "row long, vec_id long, v array<long>, cell int")
     counts = {r.cell: r.n for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*[F.lit(min(1000, -(-counts.get(c, 1) // rows_per_block))) for c in range(pivots)])
+    parts = F.array(*[F.lit(min(1000, -(-counts.get(c, 1) // rows_per_block))) for c in range(n_cells)])
     block = F.col("cell") * 1000 + F.pmod(F.xxhash64("row"), F.element_at(parts, F.col("cell") + 1))
     placed = written(cells.select("row", "vec_id", "v", block.cast("int").alias("block")), "placed")
 
