@@ -18,8 +18,8 @@ from .common import map_arrow, table
 
 #: White space but for the blank.
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-#: Entries of a worker's memory of words; at this size it starts anew.
-MEMORY = 800_000
+#: Entries of a worker's memory of words; at this size it starts anew. Between tasks a worker keeps KEPT at most.
+MEMORY, KEPT = 800_000, 200_000
 
 
 @lru_cache(1)
@@ -121,6 +121,11 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
+    def rest(self) -> None:
+        """Called at a task's end: an idle worker holds a small memory."""
+        if len(self.memory) > KEPT:
+            self.memory = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memory) > MEMORY:
@@ -253,6 +258,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        enc.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

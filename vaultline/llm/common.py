@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +61,28 @@ def discard(*tables: DataFrame) -> None:
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema) with Arrow batches of 8 MB at most, unless the session has a limit of its own.
 
-    The default of 64 MB, which a batch takes several times over in the JVM and in Python, is much for long texts.
+    The default of 64 MB, which a batch takes several times over in the JVM and in Python, is much for long texts. Workers stay
+    for later tasks: at its end a task hands back what it has freed, so that idle ones hold little.
     """
+
+    def and_hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) == "67108864b":
         conf.set(name, "8m")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(and_hand_back, schema)
+
+
+def hand_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def free_shuffles(spark: SparkSession) -> None:

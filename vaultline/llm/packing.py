@@ -137,6 +137,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        enc.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

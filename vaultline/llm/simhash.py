@@ -460,11 +460,15 @@ def near_copies(rows: DataFrame, width: int = 5, similarity: float = 0.8, few: i
         units = dealt.select("key", "i", "j", "block", "node", "component", "n", *BITS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         more = _linked(rows, nodes, unlike_pairs(units, similarity).distinct(), width, similarity)
         if not more.isEmpty():
+            discard(comp)
             comp = written(connected_components(links.unionByName(more)), "component_of")
-        discard(of)
+        discard(of, more)
     discard(met)
     label = made.select("row", "hash").join(nodes.select("hash", "node"), "hash")
-    return label.join(comp, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+    label = written(label.join(comp, "node", "left").select("row", F.coalesce("component", "node").alias("component")), "component_of_row")
+    discard(made, nodes, links, comp)
+    free_shuffles(spark)
+    return label
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
