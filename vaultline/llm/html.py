@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from math import isqrt
 
@@ -61,7 +61,6 @@ CLOSED_BY = {
     **dict.fromkeys(_set("tr"), (_set("tr"), _set("table"))),
     **dict.fromkeys(BLOCKS - _set("li dt dd td th tr html body"), (_set("p"), _set("table td th button"))),
 }
-SPACE = re.compile(r"\s+")
 
 
 class Page:
@@ -81,21 +80,22 @@ class Page:
     def _read(self, source: str) -> None:
         # the stack of open elements: tag, node of the block around, other, named, main, in a link; and how many of each tag are open
         stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", -1, False, False, False, False)]
-        opened: Counter[str] = Counter()
+        opened: defaultdict[str, int] = defaultdict(int)
         pieces: list[str] = []
         linked = 0
 
         def flush() -> None:
             nonlocal linked
             if pieces:
-                text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
+                text = " ".join(entities.unescape("".join(pieces)).split())
                 if text:
                     self.blocks.append((around[1], text, *around[2:5], 2 * linked > len(text)))
             pieces.clear()
             linked = 0
 
         def leave(k: int) -> None:
-            opened.subtract(x[0] for x in stack[k:])
+            for x in stack[k:]:
+                opened[x[0]] -= 1
             del stack[k:]
 
         around, at, size = stack[0], 0, len(source)
@@ -320,14 +320,17 @@ class Forest:
         return pairs
 
 
-TREE = "parents array<int>, tags array<string>, hashes array<long>"
-BLOCK = "array<struct<node:int,other:boolean,named:boolean,main:boolean,linked:boolean,size:int>>"
-LISTS = {"parents": pa.list_(pa.int32()), "tags": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()), "texts": pa.list_(pa.string())}
-META = pa.list_(pa.struct([("node", pa.int32()), *[(c, pa.bool_()) for c in ("other", "named", "main", "linked")], ("size", pa.int32())]))
+#: What is known of a block, as bits: other, named, main, linked.
+OTHER_, NAMED_, MAIN_, LINKED_ = 1, 2, 4, 8
+TREE = "tree long, parents array<int>, tags array<string>, nodes array<int>, hashes array<long>"
+INTS, LONGS, STRINGS = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, layout, digest, the tree and the blocks of text of every row of pages."""
+    """page_id, url, host, layout, digest, the tree and the blocks of text of every row of pages.
+
+    Blocks: nodes (where they stand), hashes (of all of their node's text), flags, sizes, texts. tree is a hash of parents and tags.
+    """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
@@ -336,70 +339,98 @@ def parsed(pages: DataFrame) -> DataFrame:
             for b in slices(whole, "html"):
                 sources = b.column("html").to_pylist()
                 found = [Page(t) for t in sources]
-                blocks = [[(n, *flags, len(t)) for n, t, *flags in p.blocks] for p in found]
-                names = [f.name for f in META.value_type]
+                whole_tree = lambda p: xxhash.xxh64_intdigest(np.array(p.parents, np.int32).tobytes() + " ".join(p.tags).encode()) >> 1
+                flags = lambda x: OTHER_ * x[2] + NAMED_ * x[3] + MAIN_ * x[4] + LINKED_ * x[5]
                 arrays = [
                     *b.columns[:3], pa.array([p.layout() for p in found], pa.int64()), pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in sources], pa.int64()),
-                    *[pa.array([getattr(p, c) for p in found], LISTS[c]) for c in ("parents", "tags", "hashes")],
-                    pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in blocks], META),
-                    pa.array([[x[1] for x in p.blocks] for p in found], LISTS["texts"]),
+                    pa.array([whole_tree(p) for p in found], pa.int64()), pa.array([p.parents for p in found], INTS), pa.array([p.tags for p in found], STRINGS),
+                    pa.array([[x[0] for x in p.blocks] for p in found], INTS), pa.array([[p.hashes[x[0]] if x[0] >= 0 else 0 for x in p.blocks] for p in found], LONGS),
+                    pa.array([[flags(x) for x in p.blocks] for p in found], INTS), pa.array([[len(x[1]) for x in p.blocks] for p in found], INTS),
+                    pa.array([[x[1] for x in p.blocks] for p in found], STRINGS),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "layout", "digest", "parents", "tags", "hashes", "blocks", "texts"])
+                names = ["page_id", "url", "host", "layout", "digest", "tree", "parents", "tags", "nodes", "hashes", "flags", "sizes", "texts"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return map_arrow(rows, run, f"page_id long, url string, host string, layout long, digest long, {TREE}, flags array<int>, sizes array<int>, texts array<string>")
 
-    return map_arrow(rows, run, f"page_id long, url string, host string, layout long, digest long, {TREE}, blocks {BLOCK}, texts array<string>")
+
+REFERENCE = ["tree", "parents", "tags", "nodes", "hashes"]
 
 
 def references(found: DataFrame) -> DataFrame:
     """host, layout and the tree of the reference page: that with the fewest nodes, so that no page meets a larger tree than its own."""
-    rows = found.where("host <> '' and size(blocks) > 0").withColumn("n", F.size("tags"))
+    rows = found.where("host <> '' and size(nodes) > 0").withColumn("n", F.size("tags"))
     pick = rows.groupBy("host", "layout").agg(F.min(F.struct("n", "digest")).alias("p")).select("host", "layout", "p.*")
     own = rows.join(pick, ["host", "layout", "n", "digest"], "left_semi")
-    best = own.groupBy("host", "layout").agg(F.min(F.struct("parents", "tags", "hashes")).alias("p"))
-    return best.select("host", "layout", *[F.col(f"p.{c}").alias(f"r_{c}") for c in ("parents", "tags", "hashes")])
-
-
-def _partners(b: pa.RecordBatch) -> list[list[tuple[int, bool]]]:
-    """For each page's blocks: the node's partner in the reference (-1 if none), and whether both have the same text."""
-    forest, trees, out = Forest(), {}, []
-    columns = [b.column(c).to_pylist() for c in ("host", "layout", "parents", "tags", "hashes", "blocks", "r_parents", "r_tags", "r_hashes")]
-    for host, layout, parents, tags, hashes, blocks, r_parents, r_tags, r_hashes in zip(*columns, strict=True):
-        if r_tags is None:
-            out.append([(-1, False)] * len(blocks))
-            continue
-        if (host, layout) not in trees:
-            trees[host, layout] = forest.add(r_parents, r_tags)
-        pairs = forest.align(forest.add(parents, tags), trees[host, layout])
-        row = []
-        for x in blocks:
-            k = pairs.get(x["node"] + 1, 0) - 1
-            row.append((k, k >= 0 and hashes[x["node"]] == r_hashes[k]))
-        out.append(row)
-    return out
+    best = own.groupBy("host", "layout").agg(F.min(F.struct(*REFERENCE)).alias("p"))
+    return best.select("host", "layout", *[F.col(f"p.{c}").alias(f"r_{c}") for c in REFERENCE])
+
+
+class Aligner:
+    """Partners of blocks in their references. Trees of one structure meet trees of another in one way, which is remembered."""
+
+    def __init__(self, most: int = 2_000_000) -> None:
+        self.most, self.size, self.pairs = most, 0, {}
+
+    def _pairs(self, b: pa.RecordBatch, i: int, key: tuple[int, int]) -> list[int]:
+        """The partner of each node of row i's tree, -1 if it has none."""
+        if key not in self.pairs:
+            parents, tags, r_parents, r_tags = (b.column(c)[i].as_py() for c in ("parents", "tags", "r_parents", "r_tags"))
+            forest = Forest()
+            found = forest.align(forest.add(parents, tags), forest.add(r_parents, r_tags))
+            if self.size > self.most:
+                self.pairs, self.size = {}, 0
+            self.pairs[key] = [found.get(n + 1, 0) - 1 for n in range(len(tags))]
+            self.size += len(tags)
+        return self.pairs[key]
+
+    def partners(self, b: pa.RecordBatch) -> list[tuple[list[int], list[bool]]]:
+        """For each row the partner of each block's node (-1 if none), and whether both have the same text."""
+        told: dict[tuple, dict[int, int]] = {}
+        out = []
+        columns = [b.column(c).to_pylist() for c in ("host", "layout", "tree", "r_tree", "nodes", "hashes")]
+        for i, (host, layout, tree, r_tree, nodes, hashes) in enumerate(zip(*columns, strict=True)):
+            if r_tree is None:
+                out.append(([-1] * len(nodes), [False] * len(nodes)))
+                continue
+            if (host, layout) not in told:
+                told[host, layout] = dict(zip(b.column("r_nodes")[i].as_py(), b.column("r_hashes")[i].as_py(), strict=True))
+            pairs, texts = self._pairs(b, i, (tree, r_tree)), told[host, layout]
+            to = [pairs[n] if n >= 0 else -1 for n in nodes]
+            out.append((to, [k >= 0 and texts.get(k) == h for k, h in zip(to, hashes, strict=True)]))
+        return out
 
 
 def slots(found: DataFrame, trees: DataFrame) -> DataFrame:
-    """host, layout, digest, slots (node, same, linked) of each page's blocks that may be content, and its letters that vary: in all,
-    without names, and in main without names."""
-    rows = found.where("host <> '' and size(blocks) > 0").drop("texts", "page_id", "url").join(trees, ["host", "layout"])
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("linked", pa.bool_())]))
+    """host, layout, digest, slots (4 node + 2 same + linked) of each page's blocks that may be content, and its letters that vary: in
+    all, without names, and in main without names."""
+    rows = found.where("host <> '' and size(nodes) > 0").join(trees, ["host", "layout"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner()
         for whole in batches:
-            for i in range(0, len(whole), 200):
-                b = whole.slice(i, 200)
+            for i in range(0, len(whole), 500):
+                b = whole.slice(i, 500)
                 out, sums = [], []
-                for blocks, partners in zip(b.column("blocks").to_pylist(), _partners(b), strict=True):
-                    rest = [(x, k, same) for x, (k, same) in zip(blocks, partners, strict=True) if not x["other"]]
-                    out.append([{"node": k, "same": same, "linked": x["linked"]} for x, k, same in rest if k >= 0])
-                    free = [x for x, _, same in rest if not same and not x["linked"]]
-                    plain = [x for x in free if not x["named"]]
-                    sums.append([sum(x["size"] for x in y) for y in (free, plain, [x for x in plain if x["main"]])])
+                for flags, sizes, (to, same) in zip(b.column("flags").to_pylist(), b.column("sizes").to_pylist(), aligner.partners(b), strict=True):
+                    codes, free, plain, inside = [], 0, 0, 0
+                    for f, n, k, s in zip(flags, sizes, to, same, strict=True):
+                        if f & OTHER_:
+                            continue
+                        if k >= 0:
+                            codes.append(4 * k + 2 * s + (f & LINKED_ > 0))
+                        if not s and not f & LINKED_:
+                            free += n
+                            plain += 0 if f & NAMED_ else n
+                            inside += n if f & MAIN_ and not f & NAMED_ else 0
+                    out.append(codes)
+                    sums.append((free, plain, inside))
                 own = [b.column(c) for c in ("host", "layout", "digest")]
                 counts = [pa.array([s[k] for s in sums], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(out, kind), *counts], ["host", "layout", "digest", "slots", "free", "plain", "inside"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(out, INTS), *counts], ["host", "layout", "digest", "slots", "free", "plain", "inside"])
 
-    columns = ["host", "layout", "digest", "parents", "tags", "hashes", "blocks", "r_parents", "r_tags", "r_hashes"]
-    schema = "host string, layout long, digest long, slots array<struct<node:int,same:boolean,linked:boolean>>, free long, plain long, inside long"
+    columns = ["host", "layout", "digest", "tree", "parents", "tags", "nodes", "hashes", "flags", "sizes", *[f"r_{c}" for c in REFERENCE]]
+    schema = "host string, layout long, digest long, slots array<int>, free long, plain long, inside long"
     return map_arrow(rows.select(*columns), run, schema)
 
 
@@ -407,8 +438,9 @@ def wrappers(found: DataFrame, share: float, least: int, few: int) -> DataFrame:
     """host, layout, the reference's tree, its template and menu nodes, and whether names and main are to be believed."""
     trees = written(references(found), "references")
     pages = written(slots(found, trees).dropDuplicates(["host", "layout", "digest"]), "slots")
-    nodes = pages.select("host", "layout", F.explode("slots").alias("b")).select("host", "layout", "b.*").groupBy("host", "layout", "node")
-    counts = nodes.agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("k"), F.sum(F.col("linked").cast("long")).alias("l"))
+    code = pages.select("host", "layout", F.explode("slots").alias("c"))
+    nodes = code.select("host", "layout", F.shiftright("c", 2).alias("node"), F.shiftright("c", 1).bitwiseAND(F.lit(1)).alias("same"), F.col("c").bitwiseAND(F.lit(1)).alias("linked"))
+    counts = nodes.groupBy("host", "layout", "node").agg(F.count("*").alias("n"), F.sum("same").alias("k"), F.sum("linked").alias("l"))
     constant = ((F.col("n") >= least) & (F.col("k") >= share * F.col("n"))) | ((F.col("n") >= few) & (F.col("k") == F.col("n")))
     menu = (F.col("n") >= few) & (2 * F.col("l") > F.col("n"))
     listed = counts.groupBy("host", "layout").agg(
@@ -421,19 +453,18 @@ def wrappers(found: DataFrame, share: float, least: int, few: int) -> DataFrame:
     return out
 
 
-def _content(blocks: list[dict], texts: list[str], partners: list[tuple[int, bool]], wrapper: tuple) -> str:
+def _content(flags: list[int], texts: list[str], partners: tuple[list[int], list[bool]], wrapper: tuple) -> str:
     """The page's text, given what its layout's pages say (template, menus, prose: reference nodes; names, main: believed or not)."""
     template, menus, prose, names, main = wrapper
-    rest = [(x, t, k, same) for x, t, (k, same) in zip(blocks, texts, partners, strict=True) if not x["other"]]
-    plain = [r for r in rest if not r[0]["named"]]
-    rest = plain if names or any(r[0]["main"] for r in plain) else rest
-    inside = [r for r in rest if r[0]["main"]]
+    rest = [r for r in zip(flags, texts, *partners, strict=True) if not r[0] & OTHER_]
+    plain = [r for r in rest if not r[0] & NAMED_]
+    rest = plain if names or any(r[0] & MAIN_ for r in plain) else rest
+    inside = [r for r in rest if r[0] & MAIN_]
     if inside and main:
         rest = inside
     else:
-        rest = [r for r in rest if (r[2] not in menus if r[2] in menus or r[2] in prose else not r[0]["linked"])]
-    slots = [r for r in rest if not (r[3] and r[2] in template)]
-    return "\n".join(r[1] for r in slots)
+        rest = [r for r in rest if (r[2] not in menus if r[2] in menus or r[2] in prose else not r[0] & LINKED_)]
+    return "\n".join([r[1] for r in rest if not (r[3] and r[2] in template)])
 
 
 def extract(pages: DataFrame, share: float = 0.9, least: int = 8, few: int = 3, alignment: bool = True) -> DataFrame:
@@ -448,18 +479,25 @@ def extract(pages: DataFrame, share: float = 0.9, least: int = 8, few: int = 3,
     """
     found = written(parsed(pages), "parsed")
     wrapper = wrappers(found if alignment else found.where("false"), share, least, few)
-    rows = found.drop("digest").join(wrapper, ["host", "layout"], "left")
+    rows = found.join(wrapper, ["host", "layout"], "left")
     lists = ("template", "menus", "prose")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner()
         for whole in batches:
-            for i in range(0, len(whole), 200):
-                b = whole.slice(i, 200)
-                told = zip(*[[set(x or ()) for x in b.column(c).to_pylist()] for c in lists], *[[x is None or x for x in b.column(c).to_pylist()] for c in ("names", "main")], strict=True)
-                texts = [_content(*row) for row in zip(b.column("blocks").to_pylist(), b.column("texts").to_pylist(), _partners(b), told, strict=True)]
+            for i in range(0, len(whole), 500):
+                b = whole.slice(i, 500)
+                told: dict[tuple, tuple] = {}
+                texts = []
+                keys = zip(b.column("host").to_pylist(), b.column("layout").to_pylist(), strict=True)
+                for row, (key, flags, own, partners) in enumerate(zip(keys, b.column("flags").to_pylist(), b.column("texts").to_pylist(), aligner.partners(b), strict=True)):
+                    if key not in told:
+                        believed = [b.column(c)[row].as_py() for c in ("names", "main")]
+                        told[key] = (*[set(b.column(c)[row].as_py() or ()) for c in lists], *[x is None or x for x in believed])
+                    texts.append(_content(flags, own, partners, told[key]))
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    columns = ["page_id", "url", "host", "layout", "parents", "tags", "hashes", "blocks", "texts", "r_parents", "r_tags", "r_hashes", *lists, "names", "main"]
+    columns = ["page_id", "url", "host", "layout", "tree", "parents", "tags", "nodes", "hashes", "flags", "texts", *[f"r_{c}" for c in REFERENCE], *lists, "names", "main"]
     text = map_arrow(rows.select(*columns), run, "page_id long, url string, text string")
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
