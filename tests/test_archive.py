@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import random
 import sqlite3
 import struct
+import time
 import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vaultline.sources import archive
 
@@ -149,6 +152,33 @@ def test_records_straddle_shards(spark, monkeypatch):
     assert [(r.key, bytes(r.record)) for r in got] == [(64 + 29 * i, bytes([i]) * 29) for i in range(12)]
 
 
+def test_a_full_shard_is_cut_once(spark):
+    """Reads don't copy the shard that they lie in: 40,000 of them would copy 335 GB."""
+    stream = header(29) + random.Random(3).randbytes(archive.MIB_8 - archive.HEADER)
+    found = spark.createDataFrame([(0, 0, stream)], "n long, start long, data binary")
+    began = time.monotonic()
+    whole = [stream[at : at + 29] for at in range(64, len(stream) - 28, 29)]
+    got = archive.records(found, 29).agg(F.count("*"), F.sum(F.col("key") % 1009 * F.crc32("record"))).first()
+    assert tuple(got) == (len(whole), sum((64 + 29 * i) % 1009 * zlib.crc32(r) for i, r in enumerate(whole)))
+    reads = spark.range(40_000).select(F.col("id").alias("read"), (F.col("id") * 209 + 5).alias("off"), (F.col("id") % 300).alias("len"))
+    got = archive.ranges(reads, found).agg(F.sum(F.col("read") * F.crc32("data"))).first()[0]
+    assert got == sum(i * zlib.crc32(stream[i * 209 + 5 : i * 209 + 5 + i % 300]) for i in range(40_000))
+    assert time.monotonic() - began < 60
+
+
+def test_a_list_of_many_keys(spark, made):
+    """A list longer than a page comes back in order, every key once."""
+    _, pool, _, _ = made
+    keys = [64 + 29 * (i * 7 % 5) for i in range(3000)]
+    stream = header(0) + bytes(12) + b"".join(struct.pack(">q", k) for k in keys)
+    found = spark.createDataFrame([(0, 0, stream)], "n long, start long, data binary")
+    ci = archive.shards(spark, f"{pool}/chunk_index.index")
+    resolved = archive.resolved_chunks(archive.chunk_records(archive.records(ci, 29), 29))
+    places = {r.key: (r.bucket, r.offset) for r in resolved.collect()}
+    rows = archive.file_chunks(spark.createDataFrame([("long", 76, 10**6)], "file string, off long, size long"), found, resolved, archive.bucket_records(spark, str(pool))).orderBy("seq").collect()
+    assert [(r.seq, r.bucket, r.offset) for r in rows] == [(i, *places[k]) for i, k in enumerate(keys)]
+
+
 def test_sqlite_lists(spark, tmp_path):
     for share in ("a", "b"):
         (tmp_path / share).mkdir()

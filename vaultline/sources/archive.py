@@ -11,7 +11,9 @@ import os
 import sqlite3
 import tempfile
 from collections.abc import Iterator
+from math import gcd
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from ..operators.ordering import numbered
 #: Fixed values of the format.
 MAGIC, HEADER = 0x7053A86E, 64
 RECORD_SIZES = {"virtual_file": (56,), "chunk_index": (16, 29), "bucket": (28, 32)}
+#: Bytes of a shard that meet a read at once.
+PAGE = 4096
 
 
 class UnsupportedArchive(Exception):
@@ -50,18 +54,42 @@ def record_size(found: DataFrame, family: str) -> int:
     return row["size"]
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """id, at, size, piece of rows (id, first, size, data): data cut every `size` bytes, the last piece may be shorter; at is first plus the bytes before.
+
+    A shard holds hundreds of thousands of records; an expression over each of them would copy the whole shard as often.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, first, size, data in zip(*[b.column(c).to_pylist() for c in ("id", "first", "size", "data")], strict=True):
+                ends = np.minimum(np.arange(0, len(data) + size, size), len(data)).astype(np.int32)
+                n = len(ends) - 1
+                pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                columns = [pa.array(np.full(n, own)), pa.array(first + size * np.arange(n)), pa.array(np.full(n, size, np.int32)), pieces]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "at", "size", "piece"])
+
+    rows = rows.select(F.col("id").cast("long"), F.col("first").cast("long"), F.col("size").cast("int"), "data")
+    return rows.mapInArrow(run, "id long, at long, size int, piece binary")
+
+
 def ranges(reads: DataFrame, found: DataFrame) -> DataFrame:
-    """reads (read, off, len) with data: the stream's bytes up to the first hole, short shard or end."""
-    last = F.floor((F.col("off") + F.col("len") - 1) / MIB_8).cast("long")
-    touched = reads.where("len > 0").withColumn("n", F.explode(F.sequence(F.floor(F.col("off") / MIB_8).cast("long"), last)))
-    met = touched.join(found.select("n", "data"), "n", "left")
-    a = F.greatest(F.lit(0), F.col("off") - F.col("n") * MIB_8)
-    want = F.least(F.lit(MIB_8), F.col("off") + F.col("len") - F.col("n") * MIB_8) - a
+    """reads (read, off, len) with data: the stream's bytes up to the first hole, short shard or end.
+
+    Reads meet the shards' pages, so that neither what a read copies nor how many tasks share the reads hangs on the shards' size.
+    """
+    page = gcd(MIB_8, PAGE)
+    pages = _cut(found.select(F.col("n").alias("id"), F.col("start").alias("first"), F.lit(page).alias("size"), "data"))
+    pages = pages.select(F.floor(F.col("at") / page).cast("long").alias("n"), F.col("piece").alias("data"))
+    last = F.floor((F.col("off") + F.col("len") - 1) / page).cast("long")
+    touched = reads.where("len > 0").withColumn("n", F.explode(F.sequence(F.floor(F.col("off") / page).cast("long"), last)))
+    met = touched.join(pages, "n", "left")
+    a = F.greatest(F.lit(0), F.col("off") - F.col("n") * page)
+    want = F.least(F.lit(page), F.col("off") + F.col("len") - F.col("n") * page) - a
     met = met.withColumn("want", want).withColumn("part", F.coalesce(F.substring("data", (a + 1).cast("int"), want.cast("int")), F.lit(b"")))
     w = Window.partitionBy("read").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("open", F.coalesce(F.min((F.length("part") == F.col("want")).cast("int")).over(w), F.lit(1)) == 1)
-    parts = F.array_sort(F.collect_list(F.when(F.col("open"), F.struct("n", "part"))))
-    joined = met.groupBy("read").agg(parts.alias("parts")).select("read", F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p.part)).alias("data"))
+    joined = met.where("open").groupBy("read").agg(F.expr("listagg(part, X'') WITHIN GROUP (ORDER BY n)").alias("data"))
     return reads.join(joined, "read", "left").withColumn("data", F.coalesce("data", F.lit(b"")))
 
 
@@ -73,9 +101,9 @@ def records(found: DataFrame, size: int) -> DataFrame:
     rows = rows.withColumn("joined", F.when(whole, F.concat("data", F.coalesce("next", F.lit(b"")))).otherwise(F.col("data")))
     first = F.when(F.col("start") <= HEADER, F.lit(HEADER)).otherwise(F.ceil((F.col("start") - HEADER) / size) * size + HEADER).cast("long")
     end = F.least(F.col("start") + F.length("data") - 1, F.col("start") + F.length("joined") - size)
-    keys = F.when(end >= first, F.sequence(first, end, F.lit(size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select("start", "joined", F.explode(keys).alias("key"))
-    return rows.select("key", F.substring("joined", (F.col("key") - F.col("start") + 1).cast("int"), F.lit(size)).alias("record"))
+    rows = rows.withColumns({"first": first, "count": F.floor((end - first) / size) + 1}).where("count > 0")
+    data = F.substring("joined", (F.col("first") - F.col("start") + 1).cast("int"), (F.col("count") * size).cast("int"))
+    return _cut(rows.select(F.col("n").alias("id"), "first", F.lit(size).alias("size"), data.alias("data"))).select(F.col("at").alias("key"), F.col("piece").alias("record"))
 
 
 def chunk_records(rows: DataFrame, size: int) -> DataFrame:
@@ -101,10 +129,9 @@ def bucket_records(spark: SparkSession, pool: str) -> DataFrame:
     found = _buckets(spark, pool, "index").withColumns({"magic": be_u32(F.col("data"), 1), "size": be_u32(F.col("data"), 17)})
     valid = (F.col("magic") == MAGIC) & F.col("size").isin(*RECORD_SIZES["bucket"])
     found = found.withColumn("size", F.when(valid, F.col("size")).otherwise(F.raise_error(F.concat(F.lit("unsupported bucket index "), F.col("bucket").cast("string")))))
-    n = F.floor((F.length("data") - HEADER) / F.col("size")).cast("long")
-    rows = found.withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
-    rows = rows.withColumn("offset", F.lit(HEADER) + F.col("i") * F.col("size"))
-    rows = rows.select("bucket", "offset", "size", F.substring("data", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("r"))
+    whole = F.floor((F.length("data") - HEADER) / F.col("size")) * F.col("size")
+    rows = _cut(found.select(F.col("bucket").alias("id"), F.lit(HEADER).alias("first"), "size", F.substring("data", F.lit(HEADER + 1), whole.cast("int")).alias("data")))
+    rows = rows.select(F.col("id").alias("bucket"), F.col("at").alias("offset"), "size", F.col("piece").alias("r"))
     ok = F.when(F.col("size") == 32, F.crc32(F.substring("r", 1, 28)) == be_u32(F.col("r"), 29))
     return rows.select("bucket", F.col("offset").cast("int").alias("offset"), be_u32(F.col("r"), 1).alias("clen"), be_u32(F.col("r"), 5).alias("at"), be_u32(F.col("r"), 9).alias("ulen"), F.substring("r", 13, 16).alias("md5"), ok.alias("crc_ok"))
 
@@ -146,9 +173,9 @@ def file_chunks(lists: DataFrame, found: DataFrame, resolved: DataFrame, index:
     most = F.least(F.coalesce(F.col("next") - 12, F.lit(stream_end)) - F.col("off"), 8 * F.greatest("size", F.lit(0)))
     reads = lists.join(ends, "off").withColumn("len", most).select(F.col("file").alias("read"), "off", "len", "size")
     data = ranges(reads, found)
-    n = F.floor(F.length("data") / 8).cast("int")
-    keys = data.select(F.col("read").alias("file"), "size", "data", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("seq"))
-    keys = keys.select("file", "size", "seq", be_i64(F.col("data"), F.col("seq") * 8 + 1).alias("key"))
+    each = F.regexp_extract_all(F.hex("data"), F.lit(".{16}"), F.lit(0))  # cut once: an expression for each key would copy the list as often
+    keys = data.select(F.col("read").alias("file"), "size", F.posexplode(each).alias("seq", "hex"))
+    keys = keys.select("file", "size", "seq", F.conv("hex", 16, -10).cast("long").alias("key"))
     rows = keys.join(resolved, "key", "left").join(index.select("bucket", "offset", "ulen"), ["bucket", "offset"], "left")
     rows = rows.withColumn("length", F.coalesce("ulen", F.lit(0)))
     return needed(rows, "file", "size", "length").select("file", "seq", "bucket", "offset", "needed", "exact", "error")

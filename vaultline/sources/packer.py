@@ -67,14 +67,15 @@ def pack(files: DataFrame, folder: str, chunk: int = 4096) -> DataFrame:
     stored = materialised(stored.withColumns({"bucket": F.floor(F.col("i") / PER_BUCKET), "slot": (F.col("i") % PER_BUCKET).cast("int")}), "stored")
 
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        index, data, number = _header(32), b"", int(rows["bucket"].iloc[0])
+        index, data, size, number = [_header(32)], [], 0, int(rows["bucket"].iloc[0])
         for i, plain in sorted(zip(rows["i"], rows["data"], strict=True)):
             raw = zlib.compress(plain) if i % 2 else plain
-            record = struct.pack(">III", len(raw), len(data), len(plain)) + hashlib.md5(plain).digest()
-            index += record + struct.pack(">I", zlib.crc32(record))
-            data += raw
-        _write(f"{folder}/Pool/1/{number >> 11}/{number & 2047}.index", index)
-        _write(f"{folder}/Pool/1/{number >> 11}/{number & 2047}.bucket", data)
+            record = struct.pack(">III", len(raw), size, len(plain)) + hashlib.md5(plain).digest()
+            index.append(record + struct.pack(">I", zlib.crc32(record)))
+            data.append(raw)
+            size += len(raw)
+        _write(f"{folder}/Pool/1/{number >> 11}/{number & 2047}.index", b"".join(index))
+        _write(f"{folder}/Pool/1/{number >> 11}/{number & 2047}.bucket", b"".join(data))
         return pd.DataFrame({"bucket": [number]})
 
     stored.groupBy("bucket").applyInPandas(bucket, "bucket long").count()
