@@ -90,3 +90,23 @@ def test_decoding_order():
     assert codecs.decode_chunk(stored, len(stored), hashlib.md5(stored).digest(), True) == stored
     assert codecs.decode_chunk(stored, len(stored), hashlib.md5(stored).digest(), False) == stored
     assert codecs.decode_chunk(stored, len(stored), None, True) == stored
+
+
+def test_codec_batches_stay_small(spark):
+    """Codecs see no batch over 8 MB and a row, however large the table; each row comes back whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    codecs.small_batches(spark)
+    rows = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 100 != 7, F.repeat(F.md5(F.col("id").cast("string")), 320).cast("binary")).alias("plain"))
+
+    @F.arrow_udf("long")
+    def batch(plain: pa.Array) -> pa.Array:
+        return pa.array([plain.nbytes] * len(plain), pa.int64())
+
+    most = rows.select(batch("plain").alias("n")).agg(F.max("n")).first()[0]
+    raw = codecs.encoded("plain", (F.col("id") % 3).cast("int"))
+    back = codecs.decoded(raw, F.length("plain"), F.unhex(F.md5("plain")), F.col("id") % 3 == 0)
+    wrong = rows.select("plain", back.alias("back")).where("not plain <=> back").count()
+    spark.conf.set(name, before)
+    assert most < 9_000_000 and wrong == 0

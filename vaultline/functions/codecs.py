@@ -6,10 +6,11 @@ import ctypes
 import ctypes.util
 import hashlib
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -33,8 +34,6 @@ def lz4_block(data: bytes, size: int) -> bytes | None:
     if lib := _lz4():
         out = ctypes.create_string_buffer(max(1, size))
         return out.raw[:size] if lib.LZ4_decompress_safe(data, out, len(data), size) == size else None
-    import pyarrow as pa
-
     try:
         return pa.Codec("lz4_raw").decompress(data, size).to_pybytes()
     except Exception:  # noqa: BLE001  malformed input: not this codec
@@ -59,22 +58,41 @@ def decode_chunk(raw: bytes, size: int, md5: bytes | None, stored_first: bool) -
     return None
 
 
-@F.pandas_udf(BinaryType())
-def decoded(raw: pd.Series, size: pd.Series, md5: pd.Series, stored_first: pd.Series) -> pd.Series:
-    """decode_chunk over Arrow batches; null where nothing fits or the input is null."""
-    rows = zip(raw, size, md5, stored_first, strict=True)
-    return pd.Series([None if r is None else decode_chunk(bytes(r), int(n), None if m is None else bytes(m), bool(s)) for r, n, m, s in rows], dtype=object)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, unless the session has a limit of its own.
+
+    A worker holds a batch, what it makes of it and copies of both on their way; at 64 MB, the default, that is what grows until batches are full.
+    """
+    if spark.conf.get(name := "spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set(name, "8m")
+
+
+def _hand_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can: workers stay, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
+@F.arrow_udf(BinaryType())
+def decoded(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """decode_chunk of raw, size, md5, stored_first over Arrow batches; null where nothing fits or the input is null."""
+    for raw, size, md5, stored_first in batches:
+        rows = zip(raw, size, md5, stored_first, strict=True)
+        yield pa.array((decode_chunk(r.as_py(), n.as_py(), m.as_py(), bool(s.as_py())) if r.is_valid else None for r, n, m, s in rows), pa.binary())
+        _hand_back()
 
-@F.pandas_udf(BinaryType())
-def encoded(plain: pd.Series, kind: pd.Series) -> pd.Series:
-    """kind 0: stored, 1: zlib, else: an LZ4 block."""
-    import pyarrow as pa
 
+@F.arrow_udf(BinaryType())
+def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """plain by its kind, 0: stored, 1: zlib, else: an LZ4 block."""
     lz4 = pa.Codec("lz4_raw")
     pack = {0: lambda x: x, 1: zlib.compress}
-    rows = zip(plain, kind, strict=True)
-    return pd.Series([None if p is None else pack.get(int(k), lambda x: lz4.compress(x).to_pybytes())(bytes(p)) for p, k in rows], dtype=object)
+    for plain, kind in batches:
+        rows = zip(plain, kind, strict=True)
+        yield pa.array((pack.get(k.as_py(), lambda x: lz4.compress(x).to_pybytes())(p.as_py()) if p.is_valid else None for p, k in rows), pa.binary())
+        _hand_back()
 
 
 def aes_encrypted(text: Column, key_hex_text: str, iv_hex: str) -> Column:

@@ -151,6 +151,7 @@ def key_trial(spark, sf):
 
 
 def codec_roundtrip(spark, sf):
+    codecs.small_batches(spark)
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("plain"))
     kind = (F.col("doc_id") % 3).cast("int")
     packed = docs.select("doc_id", "plain", codecs.encoded(F.col("plain"), kind).alias("raw"))
