@@ -225,3 +225,21 @@ def test_propagation_ends_by_tolerance_or_raises(spark):
     assert abs(got["a"] - 2 / 3) < 1e-5 and abs(got["b"] - 1 / 3) < 1e-5
     with pytest.raises(RuntimeError):
         urls.propagate(edges, seeds, rounds=3)
+
+
+def test_only_small_hashes_are_sorted(monkeypatch):
+    """Sketches hold the smallest of all hashes, also where names repeat, and long texts have few of theirs sorted."""
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "ab" * 3000, "the same words again " * 900, "".join(map(chr, rng.integers(97, 123, 40_000))), "xyz" * 7 + "".join(map(chr, rng.integers(97, 123, 300)))]
+    keys = np.concatenate([(np.uint64(i) << np.uint64(32)) | rng.integers(0, top, n).astype(np.uint64) for i, n, top in ((0, 5, 2**32), (2, 9000, 2**32), (3, 9000, 50), (5, 300, 2**32))])
+    got, every = fp._smallest(keys.copy(), 7), np.unique(keys)
+    for i in range(7):
+        mine, all_ = (k[k >> np.uint64(32) == np.uint64(i)][: fp.SIZE] for k in (got, every))
+        assert mine.tolist() == all_.tolist()
+    expected = [s.tolist() for s in (fp.sketches([t])[0] for t in texts)]
+    assert [s.tolist() for s in fp.sketches(texts)] == expected
+    assert expected == [slow_sketch(t) for t in texts]
+    seen, distinct = [], fp._distinct
+    monkeypatch.setattr(fp, "_distinct", lambda k: seen.append(len(k)) or distinct(k))
+    fp.sketches([texts[4]])
+    assert sum(seen) < 600

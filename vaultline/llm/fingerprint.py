@@ -91,6 +91,29 @@ def _phrases(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(names), np.searchsorted(at, first)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """keys in order, each once."""
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _smallest(keys: np.ndarray, texts: int) -> np.ndarray:
+    """Of keys (text in the upper, hash in the lower half) in order and each once: at least the SIZE smallest of each text, all if fewer.
+
+    Hashes are even, so that those under a bound are about four times as many as asked for, and only they are sorted. A text with
+    too few distinct ones under its bound, as repeated names make, is sorted whole.
+    """
+    of = (keys >> np.uint64(32)).astype(np.int64)
+    bound = np.uint64(2**34 * SIZE) // np.maximum(np.bincount(of, minlength=texts), 1).astype(np.uint64)
+    low = _distinct(keys[(keys & np.uint64(0xFFFFFFFF)) < bound[of]])
+    found = (low >> np.uint64(32)).astype(np.int64)
+    short = (np.bincount(found, minlength=texts) < SIZE) & (bound < np.uint64(2**32))
+    if short.any():
+        low = np.concatenate([low[~short[found]], _distinct(keys[short[of]])])
+        low.sort()
+    return low
+
+
 def sketches(texts: list[str]) -> list[np.ndarray]:
     """For each text the SIZE smallest 32-bit hashes of its distinct phrase names of all levels, in order; none for an empty text.
 
@@ -115,7 +138,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         if len(doc):
             s, first = _phrases(s, first)
         level += 1
-    keys = np.unique(np.concatenate(parts))
+    keys = _smallest(np.concatenate(parts), len(texts))
     of = (keys >> np.uint64(32)).astype(np.int64)
     at, h = np.searchsorted(of, np.arange(len(texts) + 1)), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return [h[at[i] : min(at[i + 1], at[i] + SIZE)] for i in range(len(texts))]
