@@ -7,12 +7,18 @@ import sqlite3
 import struct
 import time
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from vaultline.operators.chunks import split
+from vaultline.plans import archives
 from vaultline.sources import archive
+from vaultline.sources.packer import pack
+from vaultline.sources.storage import shared_folder
 
 
 def header(size, kind=1):
@@ -179,6 +185,48 @@ def test_a_list_of_many_keys(spark, made):
     assert [(r.seq, r.bucket, r.offset) for r in rows] == [(i, *places[k]) for i, k in enumerate(keys)]
 
 
+def test_a_long_file_is_cut_and_joined_once(spark, tmp_path):
+    """A file of 8,192 chunks: a copy of the whole for each of them would move 268 GB to cut and half as much to join."""
+    text = random.Random(4).randbytes(2**24).hex()
+    pq.write_table(pa.table({"file": ["long", "none", "null"], "text": [text, "", None]}), tmp_path / "long.parquet")
+    files = spark.read.parquet(str(tmp_path / "long.parquet")).select("file", F.col("text").cast("binary").alias("content"))
+    began = time.monotonic()
+    rows = split(files, "content", 4096).select("file", "seq", F.col("chunk").alias("data"))
+    got = rows.groupBy("file").agg(F.count("*"), F.md5(F.expr(archives.JOINED))).collect()
+    assert time.monotonic() - began < 40
+    assert list(map(tuple, got)) == [("long", 8192, hashlib.md5(text.encode()).hexdigest())]
+
+
+def test_a_lost_chunk_leaves_no_part_of_its_file(spark, tmp_path):
+    """A file with a chunk that can't be read is not ok, and its other chunks aren't passed off as the file."""
+    texts = [random.Random(6).randbytes(6000).hex(), "whole"]
+    files = spark.createDataFrame([(str(i), t.encode()) for i, t in enumerate(texts)], "file string, content binary")
+    lists = pack(files, str(tmp_path)).localCheckpoint()
+    place = tmp_path / "Pool/1/0/0.bucket"
+    index = (tmp_path / "Pool/1/0/0.index").read_bytes()
+    records = [struct.unpack(">III", index[at : at + 12]) for at in range(archive.HEADER, len(index), 32)]
+    data = bytearray(place.read_bytes())
+    data[next(at for clen, at, ulen in records if ulen == 4096)] ^= 1
+    place.write_bytes(bytes(data))
+    got = archives._rebuilt(spark, str(tmp_path / "Pool/1"), lists, lists.select("off")).orderBy("file").collect()
+    assert [(r.md5, r.ok) for r in got] == [(hashlib.md5(b"").hexdigest(), False), (hashlib.md5(b"whole").hexdigest(), True)]
+
+
+def test_packing_keeps_bytes_out_of_tables(spark, tmp_path):
+    """What is written beside the archive are digests and places; files that share chunks, or a name, store them once."""
+    body = random.Random(5).randbytes(2**20)
+    rows = [("a", body), ("b", body + b"tail"), ("c", body), ("d", random.Random(6).randbytes(2**22)), ("e", b""), ("f", body[:5000]), ("f", body[:5000])]
+    files = spark.createDataFrame(rows, "file string, content binary")
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+    before = size()
+    pack(files, str(tmp_path))
+    assert size() - before < 2**20
+    index = archive.bucket_records(spark, str(tmp_path / "Pool/1"))
+    pieces = {c[i : i + 4096] for _, c in rows for i in range(0, len(c), 4096)}
+    assert sorted(bytes(r.md5) for r in index.collect()) == sorted(hashlib.md5(p).digest() for p in pieces)
+
+
 def test_sqlite_lists(spark, tmp_path):
     for share in ("a", "b"):
         (tmp_path / share).mkdir()

@@ -12,7 +12,8 @@ def split(files: DataFrame, content: str, size: int = 512) -> DataFrame:
     """files with seq, chunk: pieces of `size` characters or bytes; an empty or null content has none."""
     n = F.ceil(F.length(content) / size).cast("int")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(places, lambda i: F.substring(F.col(content), i * size + 1, F.lit(size)))  # rows carry a piece each, never the whole
+    cut = lambda c: F.transform(places, lambda i: F.substring(c, i * size + 1, F.lit(size)))  # noqa: E731  rows carry a piece each, never the whole
+    pieces = F.transform(F.array(content), cut)[0]  # bound once: a cast inside `content` would copy the whole for each piece
     others = [c for c in files.columns if c != content]
     return files.select(*others, F.posexplode(pieces).alias("seq", "chunk"))
 

@@ -11,6 +11,9 @@ from ..sources import archive
 from ..sources.packer import pack
 from ..sources.storage import materialised, shared_folder, table
 
+#: The content of a group of rows (seq, data), copied once however many there are; null if a chunk is missing.
+JOINED = "CASE WHEN count_if(data IS NULL) = 0 THEN listagg(data, X'') WITHIN GROUP (ORDER BY seq) END"
+
 
 def _archive(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     docs = table(spark, sf, "documents").where("text is not null")
@@ -30,8 +33,7 @@ def _rebuilt(spark: SparkSession, pool: str, lists: DataFrame, places: DataFrame
     wanted = index.join(parts.select("bucket", "offset").distinct(), ["bucket", "offset"], "left_semi")
     data = archive.payloads(spark, pool, wanted)
     rows = parts.join(data, ["bucket", "offset"], "left").groupBy("file")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "data")))
-    whole = rows.agg(F.aggregate(ordered, F.lit(b""), lambda x, p: F.concat(x, p.data)).alias("content"), F.min("exact").alias("exact"), F.max("error").alias("error"))
+    whole = rows.agg(F.expr(JOINED).alias("content"), F.min("exact").alias("exact"), F.max("error").alias("error"))
     out = lists.join(whole, "file", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
     ok = F.coalesce("exact", F.lit(True)) & F.col("error").isNull() & (F.length("content") == F.col("size"))
     return out.select("file", "size", F.md5("content").alias("md5"), ok.alias("ok"))

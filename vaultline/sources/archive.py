@@ -40,7 +40,7 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     name = F.regexp_extract("path", r"/([^/]+)$", 1)
     part = lambda k: F.regexp_extract(name, r"^(\d+)\.idx(?:\.(\d+))?$", k)
     rows = files.where(part(1) != "").select(part(1).cast("long").alias("n"), F.when(part(2) == "", 0).otherwise(part(2).cast("long")).alias("gen"), "path", F.col("content").alias("data"))
-    newest = rows.groupBy("n").agg(F.max("gen").alias("gen"))
+    newest = F.broadcast(rows.groupBy("n").agg(F.max("gen").alias("gen")))  # a row a file, of those that the driver lists
     return rows.join(newest, ["n", "gen"]).select("n", (F.col("n") * MIB_8).alias("start"), "data")
 
 
@@ -120,7 +120,7 @@ def _buckets(spark: SparkSession, pool: str, kind: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}*").load(pool)
     part = lambda k: F.regexp_extract("path", rf"/(\d+)/(\d+)\.{kind}(?:\.(\d+))?$", k)
     rows = files.where(part(2) != "").select((F.shiftleft(part(1).cast("long"), 11) + part(2).cast("long")).alias("bucket"), F.when(part(3) == "", 0).otherwise(part(3).cast("long")).alias("gen"), F.col("content").alias("data"))
-    newest = rows.groupBy("bucket").agg(F.max("gen").alias("gen"))
+    newest = F.broadcast(rows.groupBy("bucket").agg(F.max("gen").alias("gen")))  # a row a file: contents aren't shuffled for it
     return rows.join(newest, ["bucket", "gen"]).select("bucket", "data")
 
 
@@ -139,7 +139,7 @@ def bucket_records(spark: SparkSession, pool: str) -> DataFrame:
 def payloads(spark: SparkSession, pool: str, wanted: DataFrame, stored_first: bool = False, verify: bool = True) -> DataFrame:
     """bucket, offset, data of the chunks in wanted (as bucket_records gives them); data is null where nothing fits its digest.
 
-    References are shuffled, not bytes: each bucket file (about 50 MB) is read once, with all that is wanted of it.
+    Each bucket file (about 50 MB) is read and moved once, to meet all that is wanted of it.
     """
     asked = wanted.groupBy("bucket").agg(F.collect_set(F.struct("offset", "clen", "at", "ulen", "md5")).alias("chunks"))
     rows = _buckets(spark, pool, "bucket").join(asked, "bucket").select("bucket", "data", "chunks")

@@ -15,7 +15,7 @@ from ..functions.expr import MIB_8
 from ..operators.chunks import split
 from ..operators.ordering import numbered
 from .archive import HEADER, MAGIC
-from .storage import materialised
+from .storage import free_shuffles, materialised
 
 #: Chunks in a bucket.
 PER_BUCKET = 512
@@ -58,17 +58,20 @@ def pack(files: DataFrame, folder: str, chunk: int = 4096) -> DataFrame:
     """file, off, size of every file of files (file string, content binary) in a new archive below folder, which executors share.
 
     Content is cut every `chunk` bytes; equal chunks are stored once. Buckets, index shards and lists are each
-    written by the tasks that hold them, and bounded: 512 chunks, or 8 MiB.
+    written by the tasks that hold them, and bounded: 512 chunks, or 8 MiB. Digests stand for chunks until the buckets
+    are known; then files are cut again, so that no bytes lie in tables between.
     """
-    cut = split(files.select("file", "content"), "content", chunk).select("file", "seq", F.col("chunk").alias("data"))
-    cut = cut.withColumn("md5", F.md5("data"))
-    cut = materialised(cut, "cut")
-    stored = numbered(cut.groupBy("md5").agg(F.min("data").alias("data")), "md5").withColumn("i", F.col("rn") - 1)
+    pieces = split(files.select("file", "content"), "content", chunk).select("file", "seq", F.col("chunk").alias("data"))
+    pieces = pieces.withColumn("md5", F.unhex(F.md5("data")))
+    cut = materialised(pieces.drop("data"), "cut")
+    first = cut.groupBy("md5").agg(F.min(F.struct("file", "seq")).alias("first")).select("md5", "first.file", "first.seq")
+    stored = numbered(first, "md5").withColumn("i", F.col("rn") - 1).drop("rn")
     stored = materialised(stored.withColumns({"bucket": F.floor(F.col("i") / PER_BUCKET), "slot": (F.col("i") % PER_BUCKET).cast("int")}), "stored")
+    chunks = pieces.join(stored, ["file", "seq", "md5"]).select("bucket", "i", "data")
 
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
         index, data, size, number = [_header(32)], [], 0, int(rows["bucket"].iloc[0])
-        for i, plain in sorted(zip(rows["i"], rows["data"], strict=True)):
+        for i, plain in sorted(dict(zip(rows["i"], rows["data"], strict=True)).items()):  # files of one name may bring a chunk twice
             raw = zlib.compress(plain) if i % 2 else plain
             record = struct.pack(">III", len(raw), size, len(plain)) + hashlib.md5(plain).digest()
             index.append(record + struct.pack(">I", zlib.crc32(record)))
@@ -78,7 +81,8 @@ def pack(files: DataFrame, folder: str, chunk: int = 4096) -> DataFrame:
         _write(f"{folder}/Pool/1/{number >> 11}/{number & 2047}.bucket", b"".join(data))
         return pd.DataFrame({"bucket": [number]})
 
-    stored.groupBy("bucket").applyInPandas(bucket, "bucket long").count()
+    chunks.groupBy("bucket").applyInPandas(bucket, "bucket long").count()
+    free_shuffles(files.sparkSession)
     big = lambda c, digits: F.unhex(F.lpad(F.hex(c.cast("long")), digits, "0"))
     key = F.lit(HEADER) + 29 * F.col("i")
     record = F.concat(F.unhex(F.lit("00")), big(F.col("bucket"), 8), big(HEADER + 32 * F.col("slot"), 8), F.unhex(F.lit("00" * 20)))

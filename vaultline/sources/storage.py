@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,9 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage after a large step: Spark deletes shuffle files once nothing refers to their plan."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
